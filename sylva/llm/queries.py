@@ -24,10 +24,19 @@ def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op9_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from sylva.llm.packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict:
     return {
         "op1_virtual_slot_sharding": op1_virtual_slot_sharding,
         "op7_pareto_mixing": op7_pareto_mixing,
+        "op9_residual_packing": op9_residual_packing,
     }
 
 
