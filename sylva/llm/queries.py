@@ -32,13 +32,35 @@ def op9_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sylva.llm.warc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages"))
+
+
+OP10_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages
+), d AS (
+  SELECT page_id, payload_bytes, sha256(html) AS payload_digest,
+         min(page_id) OVER (PARTITION BY sha256(html)) AS first_id
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM d
+"""
+
+
 def queries() -> dict:
     return {
         "op1_virtual_slot_sharding": op1_virtual_slot_sharding,
         "op7_pareto_mixing": op7_pareto_mixing,
         "op9_residual_packing": op9_residual_packing,
+        "op10_warc_round_trip": op10_warc_round_trip,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_warc_round_trip": OP10_SQL}
