@@ -18,6 +18,14 @@ def op1_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sylva.llm.quality import judge
+
+    return judge(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_divergence", "word_divergence"
+    )
+
+
 def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sylva.llm.mixing import mix
 
@@ -56,6 +64,7 @@ FROM d
 def queries() -> dict:
     return {
         "op1_virtual_slot_sharding": op1_virtual_slot_sharding,
+        "op4_divergence_quality": op4_divergence_quality,
         "op7_pareto_mixing": op7_pareto_mixing,
         "op9_residual_packing": op9_residual_packing,
         "op10_warc_round_trip": op10_warc_round_trip,
