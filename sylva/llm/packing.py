@@ -135,6 +135,10 @@ def _round(items: pd.DataFrame, level: int, width: int, slack: int, carry: int)
     return order.assign(bin=base + bins, offset=offsets, fill=fill[bins], on=on[bins])
 
 
+def _at_level(level: int, width: int, slack: int, carry: int):
+    return lambda group: _round(group, level, width, slack, carry)
+
+
 def pack(items: DataFrame, width: int = WIDTH, slack: int = SLACK, group_items: int = GROUP_ITEMS, fan: int = FAN, carry: int = CARRY) -> DataFrame:
     """items (PIECES) with sequence_id and offset. Bins take items of group_items rows at a time at first."""
     whole = items.where(F.col("length") >= width).withColumn("sequence_id", (F.lit(1 << 62) + F.monotonically_increasing_id())).withColumn("offset", F.lit(0).cast("long"))
@@ -145,7 +149,7 @@ def pack(items: DataFrame, width: int = WIDTH, slack: int = SLACK, group_items:
     first = stage_table(
         rest.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
         .groupBy("group")
-        .applyInPandas(lambda p: _round(p, 0, width, slack, carry), f"{PIECES}, group long, bin long, offset long, fill long, on boolean"),
+        .applyInPandas(_at_level(0, width, slack, carry), f"{PIECES}, group long, bin long, offset long, fill long, on boolean"),
         "pack-0",
     )
     # Where each bin of the first round has come to: only bins that went on have a row.
@@ -158,7 +162,7 @@ def pack(items: DataFrame, width: int = WIDTH, slack: int = SLACK, group_items:
         bins = (
             up.select(F.col("bin").alias("item"), F.col("fill").alias("length"), F.expr(f"group div {fan}").alias("group"))
             .groupBy("group")
-            .applyInPandas(lambda p, n=level: _round(p, n, width, slack, carry), "item long, length long, group long, bin long, offset long, fill long, on boolean")
+            .applyInPandas(_at_level(level, width, slack, carry), "item long, length long, group long, bin long, offset long, fill long, on boolean")
         )
         bins = stage_table(bins, f"pack-{level}")
         to = bins.select(F.col("item"), F.col("bin").alias("to"), F.col("offset").alias("by"))
@@ -166,11 +170,11 @@ def pack(items: DataFrame, width: int = WIDTH, slack: int = SLACK, group_items:
             moved = to
         else:
             later = to.select(F.col("item").alias("_item"), F.col("to").alias("_to"), F.col("by").alias("_by"))
-            moved = moved.join(later, moved.to == later._item, "left").select("item", F.coalesce("_to", "to").alias("to"), (F.col("by") + F.coalesce("_by", F.lit(0))).alias("by"))
+            moved = moved.join(later, moved["to"] == later["_item"], "left").select("item", F.coalesce("_to", "to").alias("to"), (F.col("by") + F.coalesce("_by", F.lit(0))).alias("by"))
             moved = stage_table(moved, f"pack-moved-{level}")
         up = bins.where("on and offset = 0").select("bin", "fill", "group")
     if moved is not None:
-        first = first.join(moved, first.bin == moved.item, "left").withColumn("bin", F.coalesce("to", "bin")).withColumn("offset", F.col("offset") + F.coalesce("by", F.lit(0)))
+        first = first.join(moved, first["bin"] == moved["item"], "left").withColumn("bin", F.coalesce("to", "bin")).withColumn("offset", F.col("offset") + F.coalesce("by", F.lit(0)))
     names = [c.split()[0] for c in PIECES.split(", ")]
     return first.withColumnRenamed("bin", "sequence_id").select(*names, "sequence_id", "offset").unionByName(whole.select(*names, "sequence_id", "offset"))
 
