@@ -54,14 +54,15 @@ def _tokenizer(path: str) -> tuple:
     return _loaded[path]
 
 
-def _learn(chunks: set[bytes], tokenizer, known: dict[bytes, bytes]) -> None:
-    if len(known) + len(chunks) > REMEMBERED:
+def _learn(new: list[bytes], tokenizer, known: dict[bytes, bytes]) -> bool:
+    """Adds the ids of new chunks; false if those known before were forgotten for it."""
+    if cleared := len(known) + len(new) > REMEMBERED:
         known.clear()
-    new = list(chunks)
     for i in range(0, len(new), 4096):
         part = new[i : i + 4096]
         for chunk, found in zip(part, tokenizer.encode_batch([c.decode() for c in part], add_special_tokens=False), strict=True):
             known[chunk] = np.array(found.ids, dtype="<u4").tobytes()
+    return not cleared
 
 
 def _ids(data: bytes, tokenizer, known: dict[bytes, bytes]) -> bytes:
@@ -72,9 +73,9 @@ def _ids(data: bytes, tokenizer, known: dict[bytes, bytes]) -> bytes:
         try:
             out.append(b"".join(map(known.__getitem__, chunks)))
         except KeyError:
-            _learn(set(chunks) - known.keys(), tokenizer, known)
-            if any(c not in known for c in chunks):  # the dictionary was cleared meanwhile
-                _learn(set(chunks) - known.keys(), tokenizer, known)
+            distinct = set(chunks)
+            if not _learn([c for c in distinct if c not in known], tokenizer, known):  # the dictionary was cleared
+                _learn([c for c in distinct if c not in known], tokenizer, known)
             out.append(b"".join(map(known.__getitem__, chunks)))
     return out[0] if len(out) == 1 else b"".join(out)
 

@@ -26,6 +26,13 @@ def op4_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_url_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sylva.llm.urls import filter_urls, labelled_urls, train
+
+    judged = filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), train(labelled_urls(spark)))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "url_score")
+
+
 def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sylva.llm.mixing import mix
 
@@ -65,6 +72,7 @@ def queries() -> dict:
     return {
         "op1_virtual_slot_sharding": op1_virtual_slot_sharding,
         "op4_divergence_quality": op4_divergence_quality,
+        "op6_url_regression": op6_url_regression,
         "op7_pareto_mixing": op7_pareto_mixing,
         "op9_residual_packing": op9_residual_packing,
         "op10_warc_round_trip": op10_warc_round_trip,
