@@ -18,6 +18,12 @@ def op1_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sylva.llm.embeddings import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sylva.llm.quality import judge
 
@@ -71,6 +77,7 @@ FROM d
 def queries() -> dict:
     return {
         "op1_virtual_slot_sharding": op1_virtual_slot_sharding,
+        "op2_sorted_projections": op2_sorted_projections,
         "op4_divergence_quality": op4_divergence_quality,
         "op6_url_regression": op6_url_regression,
         "op7_pareto_mixing": op7_pareto_mixing,

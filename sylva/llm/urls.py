@@ -26,7 +26,7 @@ MAX_LABELLED = 5000
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 #: Words of the labelled table; each is set in every template.
-BAD_WORDS = "casino poker bets betting jackpot slots pills pharma viagra cialis adult xxx porn escort nude spam farm cheap replica payday loans crypto-doubler free-bets cheap-pills click-bait win-prize lottery hack-tool warez torrent cracked keygen".split()
+BAD_WORDS = "casino poker bets betting jackpot slots pills pharma viagra cialis adult xxx porn escort nude spam farm cheap replica payday loans crypto-doubler free-bets cheap-pills click-bait win-prize lottery hack-tool warez torrent cracked keygen adult-videos adult-chat live-adult sex-cams ads ads-network ad-tracker click-track".split()
 GOOD_WORDS = "news library museum science physics garden school university research history weather maps recipes travel museum-guide city-council health journal review archive wiki docs manual forum music art film sport theatre nature energy water forest mountain river north south eastern other thing nation station letter reader render tender winter summer within ration chapter theory thread weather-map heather father mother brother".split()
 #: Neutral syllables; their pairs are allowed hosts, so that a made-up name is not suspect in itself.
 SYLLABLES = "th er in an on re at en st nd or ti ha".split()
