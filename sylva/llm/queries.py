@@ -32,6 +32,13 @@ def op4_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sylva.llm.pii import learn, report
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return report(docs, learn(docs)).drop("text")
+
+
 def op6_url_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sylva.llm.urls import filter_urls, labelled_urls, train
 
@@ -79,6 +86,7 @@ def queries() -> dict:
         "op1_virtual_slot_sharding": op1_virtual_slot_sharding,
         "op2_sorted_projections": op2_sorted_projections,
         "op4_divergence_quality": op4_divergence_quality,
+        "op5_bootstrapped_pii": op5_bootstrapped_pii,
         "op6_url_regression": op6_url_regression,
         "op7_pareto_mixing": op7_pareto_mixing,
         "op9_residual_packing": op9_residual_packing,
