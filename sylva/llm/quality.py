@@ -48,29 +48,22 @@ def _count(text: str, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
-def _map(table: dict, kind: str) -> Column:
-    return F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*[F.lit(y) for y in v]).cast(kind))])
+def _per_language(table: dict, kind: str, lang: str) -> Column:
+    """The entry of a table of lists for the language in a column."""
+    return F.element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*[F.lit(y) for y in v]).cast(kind))]), F.col(lang))
 
 
-def divergence(p: Column, q: Column) -> Column:
-    """Jensen-Shannon divergence of two histograms of equal length, not necessarily normalised; 0 if either is empty."""
-    total = lambda h: F.aggregate(h, F.lit(0.0), lambda a, x: a + x)
-    part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
-    norm = lambda h: F.transform(h, lambda x: x / total(h))
-    terms = F.zip_with(norm(p), norm(q), lambda x, y: part(x, (x + y) / 2) + part(y, (x + y) / 2))
-    return F.when((total(p) > 0) & (total(q) > 0), total(terms) / 2).otherwise(0.0)
+def term(p: Column, q: Column) -> Column:
+    """What one bin adds to twice the Jensen-Shannon divergence (base 2) of two distributions."""
+    part = lambda x: F.when(x > 0, x * F.log2(2 * x / (p + q))).otherwise(0.0)
+    return part(p) + part(q)
 
 
-def _window_hashes(w: Column) -> Column:
-    """The hash of each window of WINDOW words, or null where no two of them are equal."""
+def _window_hashes(w: str) -> Column:
+    """The hash of each window of WINDOW words."""
     n = F.size(w)
-    hashes = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])))
-    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), hashes)
-
-
-def _sorted_windows(hashes: Column) -> Column:
-    """Structs of hash h and place i, equal hashes side by side."""
-    return F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    hashes = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(F.col(w), i + k) for k in range(WINDOW)]))
+    return F.when(n >= WINDOW, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -78,7 +71,7 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     spaces = _count("_t", SPACE_CLASS)
     lines = F.filter(F.split("_t", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     same = lambda x, k: F.coalesce(F.get(F.col("_s"), k)["h"] == x["h"], F.lit(False))
-    at = F.array_sort(F.transform(F.filter("_s", lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"]))
+    at = F.sort_array(F.transform(F.filter("_s", lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"]))
     covered = F.aggregate(
         F.transform("_at", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("_at"), k + 1) - p, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x
     )
@@ -91,8 +84,8 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("n_symbols", _count("_t", SYMBOLS))
         .withColumn("_lines", lines)
         .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-        .withColumn("_h", _window_hashes(F.col("_w")))
-        .withColumn("_s", _sorted_windows(F.col("_h")))
+        .withColumn("_h", _window_hashes("_w"))
+        .withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
         .withColumn("_at", at)
         .withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
         .withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
@@ -103,37 +96,40 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """docs with the base counts, char_divergence, word_divergence and kept."""
     known = list(COMMON_WORDS)
-    every = sorted({w for table in COMMON_WORDS.values() for w in table})
-    shares = {k: [float(x) for x in v] for k, v in CHAR_SHARES.items()}
-    word_shares = {k: [float(x) for x in v.values()] + [1000.0 - sum(v.values())] for k, v in COMMON_WORDS.items()}
+    lists = {k: list(v) for k, v in COMMON_WORDS.items()}
+    # Filtering before lowering spares most words the lowering.
+    forms = sorted({f for table in COMMON_WORDS.values() for w in table for f in (w, w.capitalize(), w.upper())})
+    word_shares = {k: [x / 1000 for x in v.values()] for k, v in COMMON_WORDS.items()}
+    shares = {k: [x / sum(v) for x in v] for k, v in CHAR_SHARES.items()}
     upper, digit, stop = _count("_t", "[A-Z]"), _count("_t", "[0-9]"), _count("_t", STOPS)
     beyond = (F.octet_length("_t") - F.length("_t")).cast("long")
     rest = F.length("_t") - F.col("_upper") - F.col("_digit") - F.col("_spaces") - F.col("_stop") - F.col("n_symbols") - F.col("_beyond")
-    chars = F.array(*[c.cast("double") for c in (F.greatest(rest, F.lit(0)), F.col("_upper"), F.col("_digit"), F.col("_spaces"), F.col("_stop"), F.col("n_symbols"), F.col("_beyond"))])
-    bins = lambda L: F.element_at(_map({k: list(v) for k, v in COMMON_WORDS.items()}, "array<string>"), L)
-    counted = lambda L: F.transform(bins(L), lambda b: F.size(F.filter("_common", lambda x: x == b)).cast("double"))
-    total = lambda h: F.aggregate(h, F.lit(0.0), lambda a, x: a + x)
-    hist = lambda L: F.concat(counted(L), F.array(F.col("n_words") - total(counted(L))))
-    against = F.when(F.col(lang).isin(known), F.array(F.col(lang))).otherwise(F.array(*map(F.lit, known)))
-    found = F.array_min(
-        F.transform(
-            F.transform("_against", lambda L: F.struct(divergence(F.col("_chars"), F.element_at(_map(shares, "array<double>"), L)).alias("c"), divergence(hist(L), F.element_at(_map(word_shares, "array<double>"), L)).alias("w"))),
-            lambda d: F.struct((d["c"] + d["w"]).alias("sum"), d["c"].alias("c"), d["w"].alias("w")),
-        )
-    )
+    classes = ["_rest", "_upper", "_digit", "_spaces", "_stop", "n_symbols", "_beyond"]
+    # A document in another language is held against the one of whose common words it has most.
+    fit = lambda k: F.struct(F.size(F.filter("_common", lambda x: x.isin(lists[k]))).alias("n"), F.lit(k).alias("k"))
+    nearest = F.when(F.col(lang).isin(known), F.col(lang)).otherwise(F.array_max(F.array(*map(fit, known)))["k"])
+    total = F.nullif(sum((F.col(c) for c in classes[1:]), F.col("_rest")), F.lit(0))
+    chars = sum((term(F.col(c) / F.col("_total"), F.get("_shares", k)) for k, c in enumerate(classes[1:], 1)), term(F.col("_rest") / F.col("_total"), F.get("_shares", 0))) / 2
+    counts = F.transform("_list", lambda b: F.size(F.filter("_common", lambda x: x == b)))
+    listed = F.aggregate("_counts", F.lit(0), lambda a, x: a + x)
+    others = term((F.col("n_words") - F.col("_listed")) / F.col("n_words"), 1 - F.aggregate("_word_shares", F.lit(0.0), lambda a, x: a + x))
+    terms = F.zip_with("_counts", "_word_shares", lambda c, q: term(c / F.col("n_words"), q))
+    among = (F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) + others) / 2
     limit = F.when(F.col("n_words") >= LONG, MAX_WORDS_LONG).otherwise(MAX_WORDS_SHORT)
     far = (F.col("n_words") >= MIN_WORDS) & ((F.col("char_divergence") > MAX_CHARS) | (F.col("word_divergence") > limit))
     return (
         base_counts(docs, text)
         .withColumns({"_upper": upper, "_digit": digit, "_stop": stop, "_beyond": beyond})
-        .withColumn("_chars", chars)
-        .withColumn("_common", F.filter(F.transform("_w", lambda x: F.lower(x)), lambda x: x.isin(every)))
-        .withColumn("_against", against)
-        .withColumn("_found", found)
-        .withColumn("char_divergence", F.col("_found.c"))
-        .withColumn("word_divergence", F.col("_found.w"))
+        .withColumn("_rest", F.greatest(rest, F.lit(0)).cast("long"))
+        .withColumn("_common", F.transform(F.filter("_w", lambda x: x.isin(forms)), lambda x: F.lower(x)))
+        .withColumn("_reference", nearest)
+        .withColumns({"_total": total, "_shares": _per_language(shares, "array<double>", "_reference"), "_word_shares": _per_language(word_shares, "array<double>", "_reference"), "_list": _per_language(lists, "array<string>", "_reference")})
+        .withColumn("_counts", counts)
+        .withColumn("_listed", listed)
+        .withColumn("char_divergence", F.when(F.col("_total") > 0, chars).otherwise(0.0))
+        .withColumn("word_divergence", F.when(F.col("n_words") > 0, among).otherwise(0.0))
         .withColumn("kept", ~F.col("base_failed") & ~far)
-        .drop("_t", "_w", "_spaces", "_upper", "_digit", "_stop", "_beyond", "_chars", "_common", "_against", "_found")
+        .drop("_t", "_w", *[c for c in classes if c[0] == "_"], "_common", "_reference", "_total", "_shares", "_word_shares", "_list", "_counts", "_listed")
     )
 
 
