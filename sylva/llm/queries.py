@@ -52,6 +52,30 @@ def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op8_heavy_light_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sylva.llm.jaccard import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) END AS sh
+  FROM w
+), e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+k AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+r(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, m.c AS component_id
+FROM s JOIN (SELECT id, min(c) AS c FROM r GROUP BY id) m ON m.id = s.doc_id
+"""
+
+
 def op9_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -89,10 +113,11 @@ def queries() -> dict:
         "op5_bootstrapped_pii": op5_bootstrapped_pii,
         "op6_url_regression": op6_url_regression,
         "op7_pareto_mixing": op7_pareto_mixing,
+        "op8_heavy_light_jaccard": op8_heavy_light_jaccard,
         "op9_residual_packing": op9_residual_packing,
         "op10_warc_round_trip": op10_warc_round_trip,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc_round_trip": OP10_SQL}
+    return {"op8_heavy_light_jaccard": OP8_SQL, "op10_warc_round_trip": OP10_SQL}
