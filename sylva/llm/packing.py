@@ -15,6 +15,8 @@ result; huge texts are tokenised in segments; extra columns are not carried.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,49 +37,70 @@ FAN = 8
 SLACK = 8
 CARRY = 4096
 #: Chunks of which a worker remembers the ids.
-REMEMBERED = 500_000
+REMEMBERED = 600_000
 
-_loaded: dict[str, tuple] = {}
+MARK = "\x01"
+
+_loaded: dict = {}
+#: A full stop or comma behind a plain letter or digit, at the end of a chunk, is a token of its own in any case: parted
+#: from its word it need not be learnt with it.
+_STOP = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=[ \n])")
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _tokenizer(path: str) -> tuple:
-    """The tokenizer and its chunk dictionary, kept while the worker lives."""
-    if path not in _loaded:
-        import os
+class _Chunks:
+    """A tokenizer with the ids of the chunks met of late, in two generations of at most REMEMBERED chunks."""
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[path] = Tokenizer.from_file(path), {}
-    return _loaded[path]
-
-
-def _learn(new: list[bytes], tokenizer, known: dict[bytes, bytes]) -> bool:
-    """Adds the ids of new chunks; false if those known before were forgotten for it."""
-    if cleared := len(known) + len(new) > REMEMBERED:
-        known.clear()
-    for i in range(0, len(new), 4096):
-        part = new[i : i + 4096]
-        for chunk, found in zip(part, tokenizer.encode_batch([c.decode() for c in part], add_special_tokens=False), strict=True):
-            known[chunk] = np.array(found.ids, dtype="<u4").tobytes()
-    return not cleared
-
-
-def _ids(data: bytes, tokenizer, known: dict[bytes, bytes]) -> bytes:
-    """The ids of a text as little-endian unsigned 32-bit numbers."""
-    out = []
-    for part in segments(data):
-        chunks = part.split()
-        try:
-            out.append(b"".join(map(known.__getitem__, chunks)))
-        except KeyError:
-            distinct = set(chunks)
-            if not _learn([c for c in distinct if c not in known], tokenizer, known):  # the dictionary was cleared
-                _learn([c for c in distinct if c not in known], tokenizer, known)
-            out.append(b"".join(map(known.__getitem__, chunks)))
-    return out[0] if len(out) == 1 else b"".join(out)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        # A control character that is a token of its own tells chunks apart when many are encoded in one call.
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark_id = mark[0] if len(mark) == 1 else None
+
+    def learn(self, chunks: set[bytes]) -> None:
+        if len(self.known) + len(chunks) > REMEMBERED:
+            self.old, self.known = self.known, {}
+        new = []
+        for c in chunks:
+            if c not in self.known:
+                if (ids := self.old.get(c)) is not None:
+                    self.known[c] = ids
+                else:
+                    new.append(c)
+        plain = [c for c in new if b"<|" not in c and MARK.encode() not in c] if self.mark_id is not None else []
+        for i in range(0, len(plain), 4096):
+            part = plain[i : i + 4096]
+            text = f" {MARK} ".join([c.decode() for c in part])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
+            raw = ids.tobytes()
+            if len(ends) != len(part):
+                raise RuntimeError("the tokenizer lost a mark")
+            at = 0
+            for c, end in zip(part, ends, strict=True):
+                self.known[c] = raw[4 * at : 4 * end]
+                at = end + 1
+        for c in new:
+            if c not in self.known:
+                self.known[c] = np.array(self.tokenizer.encode(c.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def ids(self, data: bytes) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit numbers."""
+        out = []
+        for part in segments(data):
+            chunks = _STOP.sub(rb" \1", part).split()
+            try:
+                out.append(b"".join(map(self.known.__getitem__, chunks)))
+            except KeyError:
+                self.learn(set(chunks))
+                out.append(b"".join(map(self.known.__getitem__, chunks)))
+        return out[0] if len(out) == 1 else b"".join(out)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, width: int = WIDTH, closing_id: int = CLOSING_ID) -> DataFrame:
@@ -85,11 +108,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, width: int = WIDTH, closing_id:
     end = np.array([closing_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, known = _tokenizer(tokenizer_path)
+        chunks = _loaded.get(tokenizer_path) or _loaded.setdefault(tokenizer_path, _Chunks(tokenizer_path))
         for batch in batches:
             columns: list[list] = [[], [], [], [], []]
             for doc_id, data in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                ids = _ids(data, tokenizer, known) + end
+                ids = chunks.ids(data) + end
                 for n, at in enumerate(range(0, len(ids), 4 * width)):
                     part = ids[at : at + 4 * width]
                     for c, v in zip(columns, (doc_id, n, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
