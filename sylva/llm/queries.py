@@ -24,6 +24,12 @@ def op2_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sylva.llm.brown import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op4_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sylva.llm.quality import judge
 
@@ -109,6 +115,7 @@ def queries() -> dict:
     return {
         "op1_virtual_slot_sharding": op1_virtual_slot_sharding,
         "op2_sorted_projections": op2_sorted_projections,
+        "op3_brown_classes": op3_brown_classes,
         "op4_divergence_quality": op4_divergence_quality,
         "op5_bootstrapped_pii": op5_bootstrapped_pii,
         "op6_url_regression": op6_url_regression,
