@@ -54,6 +54,15 @@ def small_or_shuffled(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def where_late(df: DataFrame, condition: str) -> DataFrame:
+    """df.where(condition), evaluated above the projections of df.
+
+    Pushed below a chain of projections a condition takes in every expression of the chain, each as often as it is
+    used, and the plan explodes; a filter does not pass a projection that holds the number of the partition.
+    """
+    return df.withColumn("_at", F.spark_partition_id()).where(f"({condition}) and _at >= 0").drop("_at")
+
+
 def words(text: Column) -> Column:
     """The words of a text, split at ASCII white space; null and blank texts have none."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -103,12 +103,19 @@ class _Chunks:
         return out[0] if len(out) == 1 else b"".join(out)
 
 
+def _chunks_of(path: str) -> _Chunks:
+    """The worker's own, kept between tasks. (A function nested in another travels with copies of the globals it names.)"""
+    if path not in _loaded:
+        _loaded[path] = _Chunks(path)
+    return _loaded[path]
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, width: int = WIDTH, closing_id: int = CLOSING_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: every document's ids, cut where they exceed width."""
     end = np.array([closing_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = _loaded.get(tokenizer_path) or _loaded.setdefault(tokenizer_path, _Chunks(tokenizer_path))
+        chunks = _chunks_of(tokenizer_path)
         for batch in batches:
             columns: list[list] = [[], [], [], [], []]
             for doc_id, data in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):

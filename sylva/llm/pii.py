@@ -194,7 +194,10 @@ def redact(docs: DataFrame, patterns: Sequence[str], text: str = "text") -> Data
     A text is put together again from its matches and what stands between them, kind after kind.
     """
     rows = _prepared(docs, text)
-    passes = [(k, p, lambda m, k=k: F.when(_valid(k, m), f"<{k}>").otherwise(m)) for k, p in KINDS.items()]
+    def masked(kind: str):
+        return lambda m: F.when(_valid(kind, m), f"<{kind}>").otherwise(m)
+
+    passes = [(k, p, masked(k)) for k, p in KINDS.items()]
     passes.append(("key", KEY, lambda m: F.lit("<id>")))
     if patterns:
         tail = r"[.:!?)]*$"
@@ -203,6 +206,6 @@ def redact(docs: DataFrame, patterns: Sequence[str], text: str = "text") -> Data
     for kind, pattern, put in passes:
         found, between = _matches(F.col("_t"), kind, pattern)
         rows = rows.withColumn("_f", found).withColumn("_b", between)
-        joined = F.array_join(F.flatten(F.zip_with("_b", "_f", lambda b, m, put=put: F.array(b, F.coalesce(put(m), F.lit(""))))), "")
+        joined = F.array_join(F.flatten(F.zip_with("_b", F.transform("_f", put), lambda b, m: F.array(b, F.coalesce(m, F.lit(""))))), "")
         rows = rows.withColumn("_t", F.when(F.size("_f") > 0, joined).otherwise(F.col("_t"))).drop("_f", "_b")
     return rows.withColumn(text, F.when(F.col(text).isNotNull(), F.col("_t"))).drop("_t", "_digit")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sylva.llm._common import SPACE_CLASS, words
+from sylva.llm._common import SPACE_CLASS, where_late, words
 
 WINDOW = 8
 MIN_WORDS = 50
@@ -135,4 +135,4 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
 
 def kept(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns."""
-    return judge(docs).where("kept").select(*docs.columns)
+    return where_late(judge(docs), "kept").select(*docs.columns)
