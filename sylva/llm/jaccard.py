@@ -6,19 +6,19 @@ first d + 1 and two of their first d + 2.
 
 * Small sets (n up to a boundary) enumerate the two-element subsets of their first d + 2 shingles; small sets that
   share no subset are not linked.
-* Large sets scan inverted lists: each of the first d + 1 shingles is a list, holding the large sets and the small ones
-  large enough to be linked to a large one.
+* Large sets scan inverted lists: each of the first d + 2 shingles is a list, holding the large sets and the small ones
+  large enough to be linked to a large one. A pair must meet in two lists, which chance meetings seldom do.
 * The boundary is where the number of subsets, summed over the sizes that occur, outweighs the postings to be scanned.
 
-Subset or shingle, a signature is a key of one equi-join. Its members are first compared with the least of them alone, which
+Subset or shingle, a signature is a key of one equi-join. Its members are first paired with the least of them alone, which
 is linear. Verified links give components; members that are not connected by then are compared in pairs, so that the
 result is exact, but a group of n near copies costs about n comparisons. Where more than LIGHT unconnected members
 share a signature it is heavy: for its members the order of shingles is changed so that shingles frequent among them come
 last, and their first shingles are joined again. That repeats while new frequent shingles turn up; what
 is still unconnected then is compared in pairs, however many there are.
 
-A candidate pair is checked twice: on the leading shingles that both kept (their differences alone must not exceed the
-difference that a linked pair may have, (n + m) / 9), then on whole sets.
+A candidate pair is checked on its sizes, on the leading shingles that both kept (their differences alone must not exceed the
+difference that a linked pair may have, (n + m) / 9), and on whole sets.
 
 Cases: null, empty and blank texts have no shingles and link with nothing; equal texts are one class; rows that share a
 doc_id and differ in text are joined by their doc_id; a null doc_id counts as a document, is given its component and names none; an
@@ -28,6 +28,7 @@ empty table gives an empty result; huge texts are shingled in segments; extra co
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -111,33 +112,45 @@ def choose_boundary(sizes: dict[int, int], scan_cost: float = SCAN_COST, largest
 
 
 def signatures(heads: DataFrame, boundary: int) -> DataFrame:
-    """(sig, k): the subsets of small sets and the postings of the others, from (k, n, head)."""
+    """(k, sig, w) from (k, n, head): subsets of small sets (w 2) and postings of the others (w 1); a link needs 2 in all."""
     pairs = F.flatten(F.transform("head", lambda x, i: F.transform(F.slice("head", i + 2, F.greatest(F.size("head") - i - 1, F.lit(0))), lambda y: F.xxhash64(x, y))))
-    lists = F.slice("head", 1, (differences(F.col("n")) + 1))
     none = F.array().cast("array<bigint>")
     small = F.when((F.col("n") >= 2) & (F.col("n") <= boundary), pairs).otherwise(none)
-    large = F.when((F.col("n") >= 2) & (100 * F.col("n") > PERCENT * boundary), lists).otherwise(none)
-    return heads.select("k", F.explode(F.concat(small, large)).alias("sig"))
+    large = F.when((F.col("n") >= 2) & (100 * F.col("n") > PERCENT * boundary), F.col("head")).otherwise(none)
+    subsets = heads.where((F.col("n") >= 2) & (F.col("n") <= boundary)).select("k", F.explode(small).alias("sig"), F.lit(2).alias("w"))
+    return subsets.unionByName(heads.select("k", F.explode(large).alias("sig"), F.lit(1).alias("w")))
 
 
 def _compatible(n: Column, m: Column) -> Column:
     return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (n > 0) & (m > 0)
 
 
+def weighed(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of classes that share one subset or two postings, from (a, b, w)."""
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w")
+    return pairs.groupBy("a", "b").agg(F.sum("w").alias("w")).where("w > 1").select("a", "b")
+
+
 def verify(pairs: DataFrame, heads: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The linked ones of pairs (a, b) of classes."""
-    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    ha, hb = (heads.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("head").alias(f"h{x}")) for x in "ab")
+    """The linked ones of distinct pairs (a, b) of classes."""
+    na, nb = (classes.select(F.col("k").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    pairs = stage_table(pairs.join(na, "a").join(nb, "b").where(_compatible(F.col("na"), F.col("nb"))), "jaccard-sized")
+    none = pairs.select("a", "b").limit(0)
+    if pairs.isEmpty():
+        return none
+    ha, hb = (heads.select(F.col("k").alias(x), F.col("head").alias(f"h{x}")) for x in "ab")
     reach = F.least(F.element_at("ha", -1), F.element_at("hb", -1))
     upto = lambda h: F.filter(h, lambda x: x <= F.col("reach"))
     apart = F.size("fa") + F.size("fb") - 2 * F.size(F.array_intersect("fa", "fb"))
     likely = (
-        pairs.join(ha, "a").join(hb, "b").where(_compatible(F.col("na"), F.col("nb")))
+        pairs.join(ha, "a").join(hb, "b")
         .withColumn("reach", reach).withColumn("fa", upto("ha")).withColumn("fb", upto("hb"))
         .where((100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("na") + F.col("nb")))
         .select("a", "b")
     )
     likely = stage_table(likely, "jaccard-likely")
+    if likely.isEmpty():
+        return none
     nodes = likely.select(F.col("a").alias("k")).union(likely.select("b")).distinct()
     sets = stage_table(whole_sets(docs, classes.join(nodes, "k").select(F.col("rep").alias("doc_id"), "k")), "jaccard-sets")
     sa, sb = (sets.select(F.col("k").alias(x), F.col("hashes").alias(f"s{x}")) for x in "ab")
@@ -146,13 +159,18 @@ def verify(pairs: DataFrame, heads: DataFrame, docs: DataFrame, classes: DataFra
     return stage_table(linked.select("a", "b"), "jaccard-links")
 
 
-def _first_round(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Star pairs of all signatures, and the members (sig, k, pivot) of those with three or more entries."""
-    lists = stage_table(entries.groupBy("sig").agg(F.count("*").alias("m"), F.min("k").alias("pivot"), F.max("k").alias("last")).where("m > 1 and pivot <> last"), "jaccard-lists")
-    many = lists.where("m > 2").select("sig", "pivot")
-    members = stage_table(entries.join(small_or_shuffled(many, MAX_BROADCAST_ROWS), "sig").select("sig", "k", "pivot").distinct(), "jaccard-members")
-    stars = lists.where("m = 2").select(F.col("pivot").alias("a"), F.col("last").alias("b"))
-    return stars.unionByName(members.where("k <> pivot").select(F.col("pivot").alias("a"), F.col("k").alias("b"))), members
+def _lists(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, w) of signatures with two members, and the members (sig, k, pivot, w) of those with more."""
+    lists = stage_table(
+        entries.groupBy("sig", "w").agg(F.count("*").alias("m"), F.min("k").alias("pivot"), F.max("k").alias("last")).where("m > 1 and pivot <> last"), "jaccard-lists"
+    )
+    many = lists.where("m > 2").select("sig", "w", "pivot")
+    members = stage_table(entries.join(small_or_shuffled(many, MAX_BROADCAST_ROWS), ["sig", "w"]).select("sig", "k", "pivot", "w").distinct(), "jaccard-members")
+    return lists.where("m = 2").select(F.col("pivot").alias("a"), F.col("last").alias("b"), "w"), members
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    return members.where("k <> pivot").select(F.col("pivot").alias("a"), F.col("k").alias("b"), "w")
 
 
 def _connected(links: DataFrame) -> DataFrame:
@@ -167,42 +185,48 @@ def _unconnected(members: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame) -> DataFrame:
-    """All pairs of members of a signature in different components; those with the pivot have been compared."""
-    x = members.select("sig", F.col("k").alias("a"), F.col("component").alias("ca"), "pivot")
-    y = members.select("sig", F.col("k").alias("b"), F.col("component").alias("cb"))
-    return x.join(y, "sig").where("a < b and ca <> cb and a <> pivot").select("a", "b")
+    """All pairs (a, b, w) of members of a signature in different components."""
+    x = members.select("sig", "w", F.col("k").alias("a"), F.col("component").alias("ca"))
+    y = members.select("sig", "w", F.col("k").alias("b"), F.col("component").alias("cb"))
+    return x.join(y, ["sig", "w"]).where("a < b and ca <> cb").select("a", "b", "w")
 
 
 def link_classes(docs: DataFrame, sketched: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) between classes k, enough to connect all that are connected."""
-    heads = stage_table(sketched.where("n > 1").join(classes.where("n > 1").select(F.col("k").alias("_k"), F.col("rep")), (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("k", "n", "head").dropDuplicates(["k"]), "jaccard-heads")
+    reps = classes.where("n > 1").select(F.col("k").alias("_k"), "rep")
+    heads = stage_table(sketched.where("n > 1").join(reps, (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("k", "n", "head").dropDuplicates(["k"]), "jaccard-heads")
     sizes = {int(r.n): r["count"] for r in heads.where(F.col("n") <= 2 * LARGEST_BOUNDARY).groupBy("n").count().collect()}
-    entries = signatures(heads, choose_boundary(sizes))
-    stars, members = _first_round(entries)
-    links = verify(stars, heads, docs, classes)
-    late: set[int] = set()
+    leading, boundary, late, links = heads, choose_boundary(sizes), set(), []
+
+    def tested(pairs: DataFrame) -> None:
+        links.append(verify(pairs, heads, docs, classes))
+
+    def every() -> DataFrame:
+        return reduce(DataFrame.unionByName, links)
+
     pending = None
-    for turn in range(MAX_ORDERS):
-        left = _unconnected(members, _connected(links))
-        light = left.where(F.col("m") <= LIGHT)
-        links = links.unionByName(verify(_across(light), heads, docs, classes))
+    for _ in range(MAX_ORDERS):
+        twos, members = _lists(signatures(leading, boundary))
+        first = stage_table(weighed(twos.unionByName(_stars(members))), "jaccard-first")
+        tested(first)
+        left = _unconnected(members, _connected(every()))
+        light = weighed(twos.unionByName(_across(left.where(F.col("m") <= LIGHT))))
+        tested(light.join(first, ["a", "b"], "left_anti"))
         pending = left.where(F.col("m") > LIGHT)
         touched = stage_table(pending.select("k").distinct(), "jaccard-touched")
         if touched.isEmpty():
-            return links
+            return every()
         # Shingles frequent among the leading ones of the sets that heavy signatures leave unconnected.
-        leading = (heads if turn == 0 else ordered).join(touched, "k", "left_semi")
-        frequent = leading.select(F.explode("head").alias("h")).groupBy("h").count().where(F.col("count") > LIGHT)
+        frequent = leading.join(touched, "k", "left_semi").select(F.explode("head").alias("h")).groupBy("h").count().where(F.col("count") > LIGHT)
         found = {r.h for r in frequent.orderBy(F.desc("count"), "h").limit(MAX_BROADCAST_ROWS).collect()}
         if found <= late:
             break
         late |= found
         wanted = classes.join(touched, "k").select(F.col("rep").alias("doc_id"), "k")
-        ordered = stage_table(whole_sets(docs, wanted, sorted(late)).withColumnRenamed("hashes", "head"), "jaccard-ordered")
-        stars, members = _first_round(signatures(ordered, 0))
-        links = links.unionByName(verify(stars, heads, docs, classes))
-    left = _unconnected(pending.select("sig", "k", "pivot"), _connected(links))
-    return links.unionByName(verify(_across(left), heads, docs, classes))
+        leading, boundary = stage_table(whole_sets(docs, wanted, sorted(late)).withColumnRenamed("hashes", "head"), "jaccard-ordered"), 0
+    left = _unconnected(pending.select("sig", "k", "pivot", "w"), _connected(every()))
+    tested(_across(left).select("a", "b").distinct())
+    return every()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
