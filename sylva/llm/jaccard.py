@@ -10,12 +10,12 @@ first d + 1 and two of their first d + 2.
   large enough to be linked to a large one. A pair must meet in two lists, which chance meetings seldom do.
 * The boundary is where the number of subsets, summed over the sizes that occur, outweighs the postings to be scanned.
 
-Subset or shingle, a signature is a key of one equi-join. Its members are first paired with the least of them alone, which
-is linear. Verified links give components; members that are not connected by then are compared in pairs, so that the
-result is exact, but a group of n near copies costs about n comparisons. Where more than LIGHT unconnected members
-share a signature it is heavy: for its members the order of shingles is changed so that shingles frequent among them come
-last, and their first shingles are joined again. That repeats while new frequent shingles turn up; what
-is still unconnected then is compared in pairs, however many there are.
+Subset or shingle, a signature is a key of one equi-join. The order of shingles is by hash, but for shingles that more than
+LIGHT sets lead with: they come last. All members of a signature with up to LIGHT members are paired. Where there are
+more, each is paired with the least member alone, which is linear, and verified links give components: a group of n near
+copies costs about n comparisons. Where more than LIGHT members are not connected by then, the order is changed anew
+for these members and their leading shingles are joined again. That repeats while new frequent shingles turn up;
+what is still unconnected then is compared in pairs, however many there are. So the result is exact.
 
 A candidate pair is checked on its sizes, on the leading shingles that both kept (their differences alone must not exceed the
 difference that a linked pair may have, (n + m) / 9), and on whole sets.
@@ -43,8 +43,10 @@ from sylva.llm.shingles import set_keys, shingle_set
 PERCENT = 80
 #: What scanning a posting costs, against making one.
 SCAN_COST = 2.0
-LIGHT = 64
-MAX_ORDERS = 6
+LIGHT = 8
+MAX_ORDERS = 4
+#: Leading shingles kept beyond d + 2, so that most sets can be put in another order without their texts.
+SPARE = 16
 LARGEST_BOUNDARY = 60
 MAX_BROADCAST_ROWS = 1_000_000
 
@@ -55,7 +57,7 @@ def differences(n: Column | int) -> Column | int:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n, k, k2, head: the size of a document's set, two keys of the set, and its d + 2 least hashes."""
+    """doc_id, n, k, k2, head: the size of a document's set, two keys of the set, and its d + 2 + SPARE least hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,7 +68,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 n.append(len(h))
                 k.append(a)
                 k2.append(b)
-                head.append(h[: len(h) * (100 - PERCENT) // 100 + 2])
+                head.append(h[: differences(len(h)) + 2 + SPARE])
             at = np.cumsum([0, *map(len, head)], dtype=np.int32)
             heads = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.empty(0, np.int64), *head])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(k2, pa.int64()), heads], ["doc_id", "n", "k", "k2", "head"])
@@ -74,6 +76,33 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, k long, k2 long, head array<long>")
 
 
+def _among(h: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """Which of h are in the sorted array late."""
+    if not len(late):
+        return np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(late, h), len(late) - 1)
+    return late[at] == h
+
+
+def reordered(heads: DataFrame, heavy: list[int]) -> DataFrame:
+    """(k, n, head, enough) with heavy hashes last, cut to d + 2; not enough: the head would need hashes that were not kept."""
+    late = np.array(sorted(heavy), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for k, n, head in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                h = head.values.to_numpy()
+                last = _among(h, late)
+                light, need = h[~last], differences(n) + 2
+                for c, v in zip(out, (k, n, np.concatenate([light, h[last]])[:need], len(light) >= need or len(h) == n), strict=True):
+                    c.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["k", "n", "head", "enough"])
+
+    return heads.select("k", "n", "head").mapInArrow(run, "k long, n long, head array<long>, enough boolean")
+
+
 def whole_sets(docs: DataFrame, wanted: DataFrame, heavy: list[int] | None = None) -> DataFrame:
     """(k, n, hashes) of the documents whose doc_id and k are in wanted (doc_id, k).
 
@@ -90,8 +119,8 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, heavy: list[int] | None = Non
                     continue  # another row with this doc_id
                 n = len(h)
                 if heavy is not None:
-                    last = np.isin(h, late)
-                    h = np.concatenate([h[~last], h[last]])[: n * (100 - PERCENT) // 100 + 2]
+                    last = _among(h, late)
+                    h = np.concatenate([h[~last], h[last]])[: differences(n) + 2]
                 for c, v in zip(out, (key, n, h), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64()))], ["k", "n", "hashes"])
@@ -160,12 +189,12 @@ def verify(pairs: DataFrame, heads: DataFrame, docs: DataFrame, classes: DataFra
 
 
 def _lists(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, w) of signatures with two members, and the members (sig, k, pivot, w) of those with more."""
+    """Pairs (a, b, w) of signatures with two members, and the members (sig, k, pivot, w, m) of those with more."""
     lists = stage_table(
         entries.groupBy("sig", "w").agg(F.count("*").alias("m"), F.min("k").alias("pivot"), F.max("k").alias("last")).where("m > 1 and pivot <> last"), "jaccard-lists"
     )
-    many = lists.where("m > 2").select("sig", "w", "pivot")
-    members = stage_table(entries.join(small_or_shuffled(many, MAX_BROADCAST_ROWS), ["sig", "w"]).select("sig", "k", "pivot", "w").distinct(), "jaccard-members")
+    many = lists.where("m > 2").select("sig", "w", "pivot", "m")
+    members = stage_table(entries.join(small_or_shuffled(many, MAX_BROADCAST_ROWS), ["sig", "w"]).select("sig", "k", "pivot", "w", "m"), "jaccard-members")
     return lists.where("m = 2").select(F.col("pivot").alias("a"), F.col("last").alias("b"), "w"), members
 
 
@@ -173,22 +202,34 @@ def _stars(members: DataFrame) -> DataFrame:
     return members.where("k <> pivot").select(F.col("pivot").alias("a"), F.col("k").alias("b"), "w")
 
 
+def _pairs(members: DataFrame) -> DataFrame:
+    """All pairs (a, b, w) of members of a signature."""
+    x = members.select("sig", "w", F.col("k").alias("a"))
+    return x.join(members.select("sig", "w", F.col("k").alias("b")), ["sig", "w"]).where("a < b").select("a", "b", "w")
+
+
 def _connected(links: DataFrame) -> DataFrame:
     return stage_table(components(links).withColumnsRenamed({"node": "k"}), "jaccard-components")
 
 
 def _unconnected(members: DataFrame, joined: DataFrame) -> DataFrame:
-    """members with their component, of signatures whose members lie in several; and how many those members are."""
+    """members with their component, of signatures whose members lie in several."""
     placed = members.join(joined, "k", "left").withColumn("component", F.coalesce("component", "k"))
-    counts = placed.groupBy("sig").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("m")).where("_low <> _high").select("sig", "m")
-    return stage_table(placed.join(counts, "sig"), "jaccard-unconnected")
+    counts = placed.groupBy("sig", "w").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").select("sig", "w")
+    return stage_table(placed.join(counts, ["sig", "w"], "left_semi"), "jaccard-unconnected")
 
 
 def _across(members: DataFrame) -> DataFrame:
-    """All pairs (a, b, w) of members of a signature in different components."""
+    """All pairs (a, b) of members of a signature in different components."""
     x = members.select("sig", "w", F.col("k").alias("a"), F.col("component").alias("ca"))
     y = members.select("sig", "w", F.col("k").alias("b"), F.col("component").alias("cb"))
-    return x.join(y, ["sig", "w"]).where("a < b and ca <> cb").select("a", "b", "w")
+    return x.join(y, ["sig", "w"]).where("a < b and ca <> cb").select("a", "b").distinct()
+
+
+def _frequent(leading: DataFrame) -> set[int]:
+    """Shingles that more than LIGHT sets lead with; the most frequent if there are very many, as only the order depends on it."""
+    counts = leading.select(F.explode("head").alias("h")).groupBy("h").count().where(F.col("count") > LIGHT)
+    return set(counts.orderBy(F.desc("count"), "h").limit(MAX_BROADCAST_ROWS).select("h").toArrow()["h"].to_pylist())
 
 
 def link_classes(docs: DataFrame, sketched: DataFrame, classes: DataFrame) -> DataFrame:
@@ -196,37 +237,33 @@ def link_classes(docs: DataFrame, sketched: DataFrame, classes: DataFrame) -> Da
     reps = classes.where("n > 1").select(F.col("k").alias("_k"), "rep")
     heads = stage_table(sketched.where("n > 1").join(reps, (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("k", "n", "head").dropDuplicates(["k"]), "jaccard-heads")
     sizes = {int(r.n): r["count"] for r in heads.where(F.col("n") <= 2 * LARGEST_BOUNDARY).groupBy("n").count().collect()}
-    leading, boundary, late, links = heads, choose_boundary(sizes), set(), []
-
-    def tested(pairs: DataFrame) -> None:
-        links.append(verify(pairs, heads, docs, classes))
-
-    def every() -> DataFrame:
-        return reduce(DataFrame.unionByName, links)
-
-    pending = None
+    boundary, links = choose_boundary(sizes), []
+    late = _frequent(heads.select(F.slice("head", F.lit(1), (differences(F.col("n")) + 2)).alias("head")))
+
+    def from_texts(keys: DataFrame) -> DataFrame:
+        return whole_sets(docs, classes.join(keys, "k").select(F.col("rep").alias("doc_id"), "k"), sorted(late)).withColumnRenamed("hashes", "head")
+
+    ready = stage_table(reordered(heads, sorted(late)), "jaccard-reordered")
+    leading = ready.where("enough").drop("enough")
+    short = ready.where("not enough").select("k")
+    if not short.isEmpty():
+        leading = stage_table(leading.unionByName(from_texts(short)), "jaccard-leading")
+    left = None
     for _ in range(MAX_ORDERS):
         twos, members = _lists(signatures(leading, boundary))
-        first = stage_table(weighed(twos.unionByName(_stars(members))), "jaccard-first")
-        tested(first)
-        left = _unconnected(members, _connected(every()))
-        light = weighed(twos.unionByName(_across(left.where(F.col("m") <= LIGHT))))
-        tested(light.join(first, ["a", "b"], "left_anti"))
-        pending = left.where(F.col("m") > LIGHT)
-        touched = stage_table(pending.select("k").distinct(), "jaccard-touched")
+        found = weighed(twos.unionByName(_pairs(members.where(F.col("m") <= LIGHT))).unionByName(_stars(members.where(F.col("m") > LIGHT))))
+        links.append(verify(found, heads, docs, classes))
+        left = _unconnected(members.where(F.col("m") > LIGHT), _connected(reduce(DataFrame.unionByName, links)))
+        touched = stage_table(left.select("k").distinct(), "jaccard-touched")
         if touched.isEmpty():
-            return every()
-        # Shingles frequent among the leading ones of the sets that heavy signatures leave unconnected.
-        frequent = leading.join(touched, "k", "left_semi").select(F.explode("head").alias("h")).groupBy("h").count().where(F.col("count") > LIGHT)
-        found = {r.h for r in frequent.orderBy(F.desc("count"), "h").limit(MAX_BROADCAST_ROWS).collect()}
-        if found <= late:
+            return reduce(DataFrame.unionByName, links)
+        more = _frequent(leading.join(touched, "k", "left_semi"))
+        if more <= late:
             break
-        late |= found
-        wanted = classes.join(touched, "k").select(F.col("rep").alias("doc_id"), "k")
-        leading, boundary = stage_table(whole_sets(docs, wanted, sorted(late)).withColumnRenamed("hashes", "head"), "jaccard-ordered"), 0
-    left = _unconnected(pending.select("sig", "k", "pivot", "w"), _connected(every()))
-    tested(_across(left).select("a", "b").distinct())
-    return every()
+        late |= more
+        leading, boundary = stage_table(from_texts(touched), "jaccard-leading"), 0
+    links.append(verify(_across(left), heads, docs, classes))
+    return reduce(DataFrame.unionByName, links)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
