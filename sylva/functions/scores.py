@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sylva.functions.text import is_number, split_words, strip
+from sylva.functions.text import is_number, let, split_words, strip
 
 PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
 _UNITS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
@@ -70,7 +70,7 @@ def list_score(gold: Column, predicted: Column) -> Column:
     g, p = (F.array_sort(F.transform(_listed(x), clean_answer)) for x in (gold, predicted))
     first = F.get(g, F.lit(0))
     exact = (F.array_join(g, "-") == F.array_join(p, "-")).cast("double")
-    worst = F.array_min(F.zip_with(g, p, anls))
+    worst = F.array_min(F.zip_with(g, p, lambda x, y: anls(x, y)))
     return F.when(F.size(g) != F.size(p), 0.0).when(is_number(first) | needs_exact_match(first), exact).otherwise(worst)
 
 
@@ -90,11 +90,14 @@ def normalize_answer(text: Column) -> Column:
 
 def token_f1(predicted: Column, gold: Column) -> Column:
     """F1 of the bags of words of two answers, each word counting as often as in both."""
-    p, g = (F.split(normalize_answer(x), " ") for x in (predicted, gold))
-    p, g = (F.filter(x, lambda w: w != "") for x in (p, g))
+    bag = lambda x: F.filter(F.split(normalize_answer(x), " "), lambda w: w != "")
     times = lambda words, w: F.size(F.filter(words, lambda x: x == w))
-    common = F.aggregate(F.array_distinct(g), F.lit(0), lambda a, w: a + F.least(times(g, w), times(p, w)))
-    return F.when(common == 0, 0.0).otherwise(2.0 * common / (F.size(p) + F.size(g)))
+
+    def f1(b: Column) -> Column:
+        common = F.aggregate(F.array_distinct(b["g"]), F.lit(0), lambda a, w: a + F.least(times(b["g"], w), times(b["p"], w)))
+        return let(common, lambda c: F.when(c == 0, 0.0).otherwise(2.0 * c / (F.size(b["p"]) + F.size(b["g"]))))
+
+    return let(F.struct(bag(predicted).alias("p"), bag(gold).alias("g")), f1)
 
 
 def set_f1(predicted: Column, gold: Column) -> Column:
@@ -191,22 +194,25 @@ def best_assignment(scores):
     return (cols, rows) if flipped else (rows, cols)
 
 
-def list_f1(predicted_bags: Column, gold_bags: Column) -> Column:
-    """Mean F1 under the best one-to-one alignment of two lists of bags, to two places."""
-    import pandas as pd
+def f1_matrix(predicted_bags: Column, gold_bags: Column) -> Column:
+    """bag_f1 of each gold bag (rows) with each predicted bag."""
+    return F.transform(gold_bags, lambda g: F.transform(predicted_bags, lambda p: bag_f1(p, g)))
 
-    @F.pandas_udf("double")
-    def aligned(matrix: pd.Series) -> pd.Series:
-        import numpy as np
 
-        out = []
-        for scores in matrix:
-            s = np.array([list(r) for r in scores], float).reshape(len(scores), -1)
-            r, c = best_assignment(s)
-            out.append(round(float(s[r, c].sum()) / max(s.shape), 2))
-        return pd.Series(out, dtype=float)
+def with_list_f1(rows: DataFrame, matrix: str, out: str) -> DataFrame:
+    """rows with the mean F1, to two places, under the best one-to-one alignment in a column of f1_matrix()."""
+    import numpy as np
+
+    def align(frames):
+        for frame in frames:
+            scores = []
+            for m in frame[matrix]:
+                s = np.array([list(r) for r in m], float).reshape(len(m), -1)
+                scores.append(round(float(s[best_assignment(s)].sum()) / max(s.shape), 2))
+            yield frame.drop(columns=matrix).assign(**{out: scores})
 
-    return aligned(F.transform(gold_bags, lambda g: F.transform(predicted_bags, lambda p: bag_f1(p, g))))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != matrix)
+    return rows.mapInPandas(align, f"{kinds}, `{out}` double")
 
 
 def gold_answer(info: Column) -> Column:
