@@ -208,4 +208,5 @@ def redact(docs: DataFrame, patterns: Sequence[str], text: str = "text") -> Data
         rows = rows.withColumn("_f", found).withColumn("_b", between)
         joined = F.array_join(F.flatten(F.zip_with("_b", F.transform("_f", put), lambda b, m: F.array(b, F.coalesce(m, F.lit(""))))), "")
         rows = rows.withColumn("_t", F.when(F.size("_f") > 0, joined).otherwise(F.col("_t"))).drop("_f", "_b")
-    return rows.withColumn(text, F.when(F.col(text).isNotNull(), F.col("_t"))).drop("_t", "_digit")
+    new = F.when(F.col("_text").isNotNull(), F.col("_t")).alias(text)
+    return rows.select(*[new if c == text else F.col("_row")[c].alias(c) for c in docs.columns])

@@ -134,5 +134,6 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    return where_late(judge(docs), "kept").select(*docs.columns)
+    """The documents that pass, with their own columns, whatever these are called."""
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang")
+    return where_late(judge(packed), "kept").select("_row.*")
