@@ -193,7 +193,7 @@ def redact(docs: DataFrame, patterns: Sequence[str], text: str = "text") -> Data
 
     A text is put together again from its matches and what stands between them, kind after kind.
     """
-    rows = _prepared(docs, text)
+    rows = _prepared(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text")), "_text")
     def masked(kind: str):
         return lambda m: F.when(_valid(kind, m), f"<{kind}>").otherwise(m)
 
