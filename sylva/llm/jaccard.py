@@ -15,7 +15,8 @@ LIGHT sets lead with: they come last. All members of a signature with up to LIGH
 more, each is paired with the least member alone, which is linear, and verified links give components: a group of n near
 copies costs about n comparisons. Where more than LIGHT members are not connected by then, the order is changed anew
 for these members and their leading shingles are joined again. That repeats while new frequent shingles turn up;
-what is still unconnected then is compared in pairs, however many there are. So the result is exact.
+what is still unconnected then is compared all against all, in tiles of TILE x TILE sets, on the hashes they kept, however
+many there are. So the result is exact.
 
 A candidate pair is checked on its sizes, on the leading shingles that both kept (their differences alone must not exceed the
 difference that a linked pair may have, (n + m) / 9), and on whole sets.
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +50,7 @@ MAX_ORDERS = 4
 #: Leading shingles kept beyond d + 2, so that most sets can be put in another order without their texts.
 SPARE = 16
 LARGEST_BOUNDARY = 60
+TILE = 256
 MAX_BROADCAST_ROWS = 1_000_000
 
 
@@ -219,11 +222,46 @@ def _unconnected(members: DataFrame, joined: DataFrame) -> DataFrame:
     return stage_table(placed.join(counts, ["sig", "w"], "left_semi"), "jaccard-unconnected")
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """All pairs (a, b) of members of a signature in different components."""
-    x = members.select("sig", "w", F.col("k").alias("a"), F.col("component").alias("ca"))
-    y = members.select("sig", "w", F.col("k").alias("b"), F.col("component").alias("cb"))
-    return x.join(y, ["sig", "w"]).where("a < b and ca <> cb").select("a", "b").distinct()
+def _tile(group: pd.DataFrame) -> pd.DataFrame:
+    """Pairs (a, b) of two blocks of a group that lie in different components and may be linked by sizes and heads."""
+    i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+    sides = [group[group["block"] == x] for x in (i, j)]
+    heads = [[np.asarray(h, np.int64) for h in side["head"]] for side in sides]
+    tokens, counts = np.unique(np.concatenate([h for part in heads for h in part]), return_counts=True)
+    shared = tokens[counts > 1]  # in a tile of one block all are counted once, in others twice at most: a superset is enough
+    matrix = []
+    for part in heads:
+        m = np.zeros((len(part), len(shared)), np.float32)
+        for row, h in enumerate(part):
+            m[row, np.searchsorted(shared, h[_among(h, shared)])] = 1
+        matrix.append(m)
+    last = [np.array([h[-1] for h in part], np.int64) for part in heads]
+    # Of each head, how many hashes lie within the reach of each head of the other side.
+    left = np.array([np.searchsorted(h, last[1], "right") for h in heads[0]], np.int64).reshape(len(heads[0]), -1)
+    right = np.array([np.searchsorted(h, last[0], "right") for h in heads[1]], np.int64).reshape(len(heads[1]), -1).T
+    apart = left + right - 2 * np.rint(matrix[0] @ matrix[1].T).astype(np.int64)
+    (n, m), (c, d), (k, o) = ([side[x].to_numpy(np.int64) for side in sides] for x in ("n", "component", "k"))
+    fits = (100 + PERCENT) * apart <= (100 - PERCENT) * (n[:, None] + m[None, :])
+    fits &= 100 * np.minimum(n[:, None], m[None, :]) >= PERCENT * np.maximum(n[:, None], m[None, :])
+    fits &= (c[:, None] != d[None, :]) & (k[:, None] < o[None, :] if i == j else k[:, None] != o[None, :])
+    x, y = np.nonzero(fits)
+    return pd.DataFrame({"a": np.minimum(k[x], o[y]), "b": np.maximum(k[x], o[y])})
+
+
+def _across(members: DataFrame, heads: DataFrame, tile: int = TILE) -> DataFrame:
+    """Pairs (a, b) of members of signatures, in different components, that may be linked.
+
+    Sets that share many signatures would meet in each; so signatures that share members make one group, and a group
+    is compared once, in tiles, on its heads.
+    """
+    groups = components(members.select(F.col("k").alias("a"), F.xxhash64("sig", "w", F.lit("signature")).alias("b")))
+    placed = stage_table(
+        members.select("k", "component").distinct().join(groups.select(F.col("node").alias("k"), F.col("component").alias("group")), "k").join(heads.select("k", "n", "head"), "k"), "jaccard-groups"
+    )
+    sizes = placed.groupBy("group").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
+    dealt = placed.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
+    return tiles.groupBy("group", "i", "j").applyInPandas(_tile, "a long, b long")
 
 
 def _frequent(leading: DataFrame) -> set[int]:
@@ -262,7 +300,7 @@ def link_classes(docs: DataFrame, sketched: DataFrame, classes: DataFrame) -> Da
             break
         late |= more
         leading, boundary = stage_table(from_texts(touched), "jaccard-leading"), 0
-    links.append(verify(_across(left), heads, docs, classes))
+    links.append(verify(_across(left, heads), heads, docs, classes))
     return reduce(DataFrame.unionByName, links)
 
 
