@@ -62,6 +62,7 @@ class _Chunks:
         # A control character that is a token of its own tells chunks apart when many are encoded in one call.
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark_id = mark[0] if len(mark) == 1 else None
+        self.lowers = self.tokenizer.encode("ABC", add_special_tokens=False).ids == self.tokenizer.encode("abc", add_special_tokens=False).ids
 
     def learn(self, chunks: set[bytes]) -> None:
         if len(self.known) + len(chunks) > REMEMBERED:
@@ -91,7 +92,13 @@ class _Chunks:
                 self.known[c] = np.array(self.tokenizer.encode(c.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def ids(self, data: bytes) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit numbers."""
+        """The ids of a text as little-endian unsigned 32-bit numbers.
+
+        The tokenizer lower-cases, so lower-casing first makes fewer chunks; not where it might change what a capital
+        composes with, or turn other text into a special token.
+        """
+        if b"<|" not in data and b"\xcc" not in data and self.lowers:
+            data = data.lower()
         out = []
         for part in segments(data):
             chunks = _STOP.sub(rb" \1", part).split()
