@@ -31,12 +31,12 @@ class Inputs:
 
 #: Defaults of each strategy, and what a variant changes.
 DEFAULTS = {
-    "gbc": {"topk": 10, "alpha": 0.5, "topk_ent": 5, "similarity": 0.3, "budget": 800},
+    "planned": {"topk": 10, "alpha": 0.5, "topk_ent": 5, "similarity": 0.3, "budget": 800},
     "graph": {"topk": 5, "alpha": 0.5, "topk_ent": 5, "similarity": 0.3, "budget": 800},
     "traverse": {"topk": 5, "max_depth": 5, "budget": 800},
     "vanilla": {"topk": 5, "budget": 800},
     "bm25": {"topk": 5, "budget": 800},
-    "gbcvanilla": {"topk": 10, "topk_ent": 5, "alpha": 0.5, "budget": 800},
+    "tree_entity": {"topk": 10, "topk_ent": 5, "alpha": 0.5, "budget": 800},
     "mmr": {"topk": 5, "budget": 800},
 }
 VARIANTS = ("standard", "wo_plan", "wo_selector", "wo_graph", "wo_text", "wo_er", "wo_map")
@@ -104,7 +104,7 @@ def _graph(inputs: Inputs, options: dict) -> DataFrame:
     return _ranked(_entity_scores(inputs, options), options["topk"]).select("query_id", "node_id", "score")
 
 
-@strategy("gbcvanilla")
+@strategy("tree_entity")
 def _tree_and_entities(inputs: Inputs, options: dict) -> DataFrame:
     entity = _ranked(_entity_scores(inputs, options), options["topk_ent"]).select("query_id", "node_id", "score")
     return _vanilla(inputs, options).unionByName(entity).groupBy("query_id", "node_id").agg(F.max("score").alias("score"))
@@ -128,7 +128,7 @@ def _traverse(inputs: Inputs, options: dict) -> DataFrame:
     return out
 
 
-@strategy("gbc")
+@strategy("planned")
 def _planned(inputs: Inputs, options: dict) -> DataFrame:
     """Lexical rerank and graph rank merged, and of each question the skyline, or what a variant leaves of it."""
     variant = options["variant"]

@@ -80,10 +80,10 @@ def _strategy_query(name, variant="standard"):
     return run
 
 
-for _name in ("vanilla", "bm25", "graph", "gbcvanilla", "gbc"):
+for _name in ("vanilla", "bm25", "graph", "tree_entity", "planned"):
     _strategy_query(_name)
 for _variant in ("wo_graph", "wo_text"):
-    _strategy_query("gbc", _variant)
+    _strategy_query("planned", _variant)
 
 
 @query("strategy_answers")
