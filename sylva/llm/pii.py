@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sylva.llm._common import stage_table
+from sylva.llm._common import let, stage_table
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -91,7 +91,7 @@ def _matches(text: Column, kind: str, pattern: str) -> tuple[Column, Column]:
 def _placed(found: Column, between: Column) -> Column:
     """Spans (s, e, m) of matches: places add up in blocks of BLOCK matches, so that cost stays nearly linear."""
     items = F.zip_with(found, F.slice(between, 1, F.greatest(F.size(found), F.lit(1))), lambda m, p: F.struct(F.length(p).cast("long").alias("p"), F.length(m).cast("long").alias("l"), m.alias("m")))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, BLOCK))
+    blocks = let(items, lambda xs: F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int")), lambda b: F.slice(xs, b * BLOCK + 1, BLOCK)))
     start = F.struct(F.lit(0).cast("long").alias("at"), _none().alias("out"))
 
     def add(acc: Column, x: Column) -> Column:

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm._common import ascii_lower
+from sylva.llm._common import ascii_lower, let
 
 DIM = 2048
 GRAMS = (3, 4, 5)
@@ -51,8 +51,12 @@ def gram_ids(host: Column, path: Column, dim: int = DIM) -> Column:
     """The distinct hashed n-grams of host and path, from 1 to dim; every digit counts as 0."""
     marked = F.concat(F.lit("^"), F.regexp_replace(host, "[0-9]", "0"), F.lit("$"), F.regexp_replace(F.lower(path), "[0-9]", "0"))
     chars = F.split(F.when((host == "") & (path == ""), F.lit("")).otherwise(marked), "")
-    part = lambda n: F.when(F.size(chars) >= n, F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.pmod(F.xxhash64(*[F.get(chars, i + k) for k in range(n)]), F.lit(dim)) + 1)).otherwise(F.array().cast("array<bigint>"))
-    return F.array_distinct(F.concat(*[part(n) for n in GRAMS]))
+
+    def grams(c: Column, n: int) -> Column:
+        hashed = F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.pmod(F.xxhash64(*[F.get(c, i + k) for k in range(n)]), F.lit(dim)) + 1)
+        return F.when(F.size(c) >= n, hashed).otherwise(F.array().cast("array<bigint>"))
+
+    return let(chars, lambda c: F.array_distinct(F.concat(*[grams(c, n) for n in GRAMS])))
 
 
 def train(labelled: DataFrame, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY) -> list[float]:
