@@ -40,10 +40,10 @@ def duck(sf_dir):
 
 
 def _shown(v):
-    if v is None or v != v:
-        return "null"
     if hasattr(v, "tolist"):
         v = v.tolist()
+    if v is None or str(v) in ("nan", "<NA>", "NaT"):
+        return "null"
     if isinstance(v, float):
         return f"{v:.6g}"
     if isinstance(v, list | tuple):
