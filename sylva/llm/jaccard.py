@@ -222,7 +222,7 @@ def _unconnected(members: DataFrame, joined: DataFrame) -> DataFrame:
     return stage_table(placed.join(counts, ["sig", "w"], "left_semi"), "jaccard-unconnected")
 
 
-def _tile(group: pd.DataFrame) -> pd.DataFrame:
+def _tile(group: pd.DataFrame, forest: bool) -> pd.DataFrame:
     """Pairs (a, b) of two blocks of a group that lie in different components and may be linked by sizes and heads."""
     i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
     sides = [group[group["block"] == x] for x in (i, j)]
@@ -245,12 +245,31 @@ def _tile(group: pd.DataFrame) -> pd.DataFrame:
     fits &= 100 * np.minimum(n[:, None], m[None, :]) >= PERCENT * np.maximum(n[:, None], m[None, :])
     fits &= (c[:, None] != d[None, :]) & (k[:, None] < o[None, :] if i == j else k[:, None] != o[None, :])
     x, y = np.nonzero(fits)
+    if forest:
+        # The likeliest pair first; one pair for each two components that have not been joined by then.
+        order = np.argsort(apart[x, y] / (n[x] + m[y]), kind="stable")
+        up: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            while (w := up.get(v, v)) != v:
+                v = w
+            return v
+
+        taken = []
+        for at, p, q in zip(order.tolist(), c[x[order]].tolist(), d[y[order]].tolist(), strict=True):
+            p, q = find(p), find(q)
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                taken.append(at)
+        x, y = x[taken], y[taken]
     return pd.DataFrame({"a": np.minimum(k[x], o[y]), "b": np.maximum(k[x], o[y])})
 
 
-def _across(members: DataFrame, heads: DataFrame, tile: int = TILE) -> DataFrame:
+def _across(members: DataFrame, heads: DataFrame, forest: bool, tile: int = TILE) -> DataFrame:
     """Pairs (a, b) of members of signatures, in different components, that may be linked.
 
+    With forest, a tile gives only the likeliest pairs that would join all that could be joined in it.
+
     Sets that share many signatures would meet in each; so signatures that share members make one group, and a group
     is compared once, in tiles, on its heads.
     """
@@ -261,7 +280,7 @@ def _across(members: DataFrame, heads: DataFrame, tile: int = TILE) -> DataFrame
     sizes = placed.groupBy("group").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
     dealt = placed.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
-    return tiles.groupBy("group", "i", "j").applyInPandas(_tile, "a long, b long")
+    return tiles.groupBy("group", "i", "j").applyInPandas(lambda group: _tile(group, forest), "a long, b long")
 
 
 def _frequent(leading: DataFrame) -> set[int]:
@@ -300,7 +319,13 @@ def link_classes(docs: DataFrame, sketched: DataFrame, classes: DataFrame) -> Da
             break
         late |= more
         leading, boundary = stage_table(from_texts(touched), "jaccard-leading"), 0
-    links.append(verify(_across(left, heads), heads, docs, classes))
+    # First what is likeliest, so that near copies come together at a linear cost; then all pairs still across.
+    for forest in (True, False):
+        links.append(verify(_across(left, heads, forest).distinct(), heads, docs, classes))
+        if forest:
+            left = _unconnected(left.drop("component"), _connected(reduce(DataFrame.unionByName, links)))
+            if left.isEmpty():
+                break
     return reduce(DataFrame.unionByName, links)
 
 
