@@ -3,9 +3,12 @@
 Equal vectors collapse to one representative first, with their number. Each pass draws BITS random hyperplanes per
 dimension of the vectors; the signs, concatenated, are a key, and vectors are ordered by it across the cluster. Within a
 range of that order every vector is compared with the WINDOW that follow it; pairs whose cosine in double precision
-reaches the threshold are kept, reduced to a spanning forest before they leave the task, and united across passes. The
-number of passes follows from the number of vectors, so that a pair at the threshold is missed with probability MISS
-at most; closer pairs are missed far less often.
+reaches the threshold are kept, reduced to a spanning forest before they leave the task, and united across passes.
+
+Vectors that share the first prefix_bits() bits of a key are a run, and every pair of a run is compared, whatever the
+density: windows reach all of a run of up to WINDOW, and crowded runs are compared in tiles, but for pairs that the
+windows have connected. The number of passes follows from the bits, so that a pair at the threshold shares no run in
+any pass with probability MISS at most, on any data; closer pairs are missed far less often.
 
 Windows find which vectors belong together, not how many: in a large group of near copies most pairs are never within a
 window. So links are counted afterwards within each component, all against all, in tiles of TILE x TILE vectors, and
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylva.llm._common import components, stage_table
@@ -37,14 +40,18 @@ ROWS_A_RANGE = 20_000
 SEED = 11
 
 
+def prefix_bits(n: int, window: int = WINDOW) -> int:
+    """Leading bits of a key that make a run: about window / 2 of n vectors share them if no place is dense."""
+    return min(BITS, math.ceil(math.log2(max(2.0, 2 * n / window))))
+
+
 def passes_needed(n: int, threshold: float = THRESHOLD, window: int = WINDOW, miss: float = MISS) -> int:
-    """Passes after which a pair at the threshold has been within a window with probability 1 - miss.
+    """Passes after which a pair at the threshold has been in one run with probability 1 - miss.
 
-    Two vectors agree in a bit with probability 1 - angle / pi. Among n vectors about n / 2**m share m leading bits, so a
-    window reaches those that share log2(n / window) bits.
+    Two vectors agree in a bit of a random hyperplane with probability 1 - angle / pi, wherever they lie.
     """
     agree = 1 - math.acos(threshold) / math.pi
-    near = agree ** max(1.0, math.log2(max(2.0, 2 * n / window)))
+    near = agree ** prefix_bits(n, window)
     return max(2, math.ceil(math.log(miss) / math.log1p(-min(near, 0.999))))
 
 
@@ -71,15 +78,30 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     )
 
 
-def _keyed(number: int, seed: int):
+def _keys(frame: pd.DataFrame, number: int, seed: int):
+    """Of each length and pass: dim, pass, keys, and the rows they belong to."""
+    weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+    for dim, part in frame.groupby(frame["v"].map(len)):
+        x = _matrix(part["v"])
+        for p in range(number):
+            yield dim, p, ((x @ _planes(dim, p, seed)) > 0) @ weights, part
+
+
+def _keyed(number: int, bits: int, seed: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for dim, p, keys, part in _keys(frame, number, seed):
+                yield pd.DataFrame({"pass": p, "dim": dim, "run": keys >> (BITS - bits), "key": keys, "rep": part["rep"].to_numpy(), "v": part["v"].to_numpy()})
+
+    return run
+
+
+def _run_sizes(number: int, bits: int, seed: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
         for frame in frames:
-            for dim, part in frame.groupby(frame["v"].map(len)):
-                x = _matrix(part["v"])
-                for p in range(number):
-                    keys = ((x @ _planes(dim, p, seed)) > 0) @ weights
-                    yield pd.DataFrame({"pass": p, "dim": dim, "key": keys, "rep": part["rep"].to_numpy(), "v": part["v"].to_numpy()})
+            for dim, p, keys, _ in _keys(frame, number, seed):
+                runs, n = np.unique(keys >> (BITS - bits), return_counts=True)
+                yield pd.DataFrame({"pass": p, "dim": dim, "run": runs, "n": n})
 
     return run
 
@@ -130,16 +152,96 @@ def _windows(threshold: float, window: int):
     return run
 
 
-def window_links(reps: DataFrame, n: int, threshold: float = THRESHOLD, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """(a, b): verified links found by the passes over reps (rep, v), enough to connect what the windows connect."""
-    number = passes_needed(n, threshold, window)
-    ranges = max(1, -(-n * number // ROWS_A_RANGE))
+RUN = ["pass", "dim", "run"]
+
+
+def keyed(reps: DataFrame, n: int, threshold: float = THRESHOLD, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """Each of reps (rep, v), in each pass: pass, dim, run, key, rep, v."""
+    return reps.mapInPandas(_keyed(passes_needed(n, threshold, window), prefix_bits(n, window), seed), "pass int, dim int, run long, key long, rep long, v array<double>")
+
+
+def crowded_runs(reps: DataFrame, n: int, threshold: float = THRESHOLD, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """pass, dim, run: the runs that a window does not span."""
+    sizes = reps.mapInPandas(_run_sizes(passes_needed(n, threshold, window), prefix_bits(n, window), seed), "pass int, dim int, run long, n long")
+    return sizes.groupBy(*RUN).agg(F.sum("n").alias("n")).where(F.col("n") > window).select(*RUN)
+
+
+def window_links(rows: DataFrame, crowded: DataFrame, ranges: int, threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:
+    """(a, b): verified links found by the windows over rows of keyed(), enough to connect what the windows connect.
+
+    Only crowded runs are cut between ranges.
+    """
+    marked = rows.join(crowded.withColumn("cut", F.lit(True)), RUN, "left")
     return (
-        reps.mapInPandas(_keyed(number, seed), "pass int, dim int, key long, rep long, v array<double>")
-        .repartitionByRange(ranges, "pass", "dim", "key", "rep")
+        marked.withColumn("at", F.when(F.col("cut"), F.col("key"))).withColumn("by", F.when(F.col("cut"), F.col("rep")))
+        .repartitionByRange(ranges, *RUN, "at", "by")
         .sortWithinPartitions("pass", "dim", "key", "rep")
+        .select("pass", "dim", "rep", "v")
         .mapInPandas(_windows(threshold, window), "a long, b long")
-    )
+    )
+
+
+def _stars(near: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each component of a matrix of links: its first row, its rows, its columns."""
+    open_rows = near.any(1)
+    while open_rows.any():
+        first = int(np.argmax(open_rows))
+        new = np.array([first])
+        rows, cols = [], np.zeros(near.shape[1], bool)
+        while len(new):
+            rows.append(new)
+            open_rows[new] = False
+            more = near[new].any(0) & ~cols
+            cols |= more
+            new = np.flatnonzero(open_rows & near[:, more].any(1))
+        yield first, np.concatenate(rows), np.flatnonzero(cols)
+
+
+def _tile_links(threshold: float):
+    """A forest of the links of a tile."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+        x, ids, block = _matrix(group["v"]), group["rep"].to_numpy(), group["block"].to_numpy()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        near = (x[left] @ x[right].T) >= threshold
+        if i == j:
+            np.fill_diagonal(near, False)
+        found = [(ids[left[first]], np.unique(np.concatenate((ids[left[rows]], ids[right[cols]])))) for first, rows, cols in _stars(near)]
+        out = pd.DataFrame({"a": np.concatenate([np.full(len(m), c) for c, m in found] or [ids[:0]]), "b": np.concatenate([m for _, m in found] or [ids[:0]])})
+        return out[out["a"] != out["b"]]
+
+    return run
+
+
+def run_links(rows: DataFrame, crowded: DataFrame, grouped: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
+    """(a, b): links within crowded runs of keyed() that connect components of grouped (rep, component), in tiles.
+
+    In a run, each component of `tile` members or more has blocks of its own, which are not compared with one another;
+    the others share blocks. All other pairs of blocks are groups.
+    """
+    members = rows.join(crowded, RUN).join(grouped, "rep", "left").select(*RUN, "rep", "v", F.coalesce("component", "rep").alias("component"))
+    sizes = members.groupBy(*RUN, "component").agg(F.count("*").alias("n")).withColumn("own", F.col("n") >= tile)
+    parts = sizes.groupBy(*RUN, F.when(F.col("own"), F.col("component")).alias("part")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+    order = Window.partitionBy(*RUN).orderBy("part")
+    blocks = (
+        parts.withColumn("blocks", F.ceil(F.col("n") / tile).cast("int"))
+        .withColumn("upto", F.sum("blocks").over(order).cast("int"))
+        .withColumn("total", F.sum("blocks").over(Window.partitionBy(*RUN)).cast("int"))
+        .withColumn("kinds", F.sum("kinds").over(Window.partitionBy(*RUN)))
+        .where("kinds > 1")
+    )
+    of = sizes.withColumn("part", F.when(F.col("own"), F.col("component"))).drop("n")
+    held = blocks.select(*[F.col(c).alias(f"_{c}") for c in RUN], F.col("part").alias("_part"), "blocks", "upto", "total")
+    same = F.col("part").eqNullSafe(F.col("_part"))
+    for c in RUN:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    placed = of.join(held, same).select(*RUN, "component", "own", "blocks", "upto", "total")
+    dealt = members.join(placed, [*RUN, "component"])
+    dealt = dealt.withColumn("block", F.col("upto") - F.col("blocks") + F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("total") - 1))).where("not own or other < upto - blocks or other >= upto")
+    tiles = pairs.select(*RUN, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "v")
+    return tiles.groupBy(*RUN, "i", "j").applyInPandas(_tile_links(threshold), "a long, b long")
 
 
 def _tile(threshold: float):
@@ -181,8 +283,14 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     """One row for each vector: vec_id, n_links, component_id, kept."""
     good = stage_table(usable(vectors, vec_id, embedding), "vectors")
     reps = stage_table(good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("rep is not null"), "reps")
-    links = window_links(reps, reps.count(), threshold, window, seed)
-    grouped = stage_table(components(links).withColumnsRenamed({"node": "rep"}), "vector-components")
+    n = reps.count()
+    rows = keyed(reps, n, threshold, window, seed)
+    crowded = stage_table(crowded_runs(reps, n, threshold, window, seed), "crowded-runs")
+    ranges = max(1, -(-n * passes_needed(n, threshold, window) // ROWS_A_RANGE))
+    grouped = stage_table(components(window_links(rows, crowded, ranges, threshold, window)).withColumnsRenamed({"node": "rep"}), "window-components")
+    if not crowded.isEmpty():
+        more = run_links(rows, crowded, grouped, threshold)
+        grouped = stage_table(components(grouped.select(F.col("rep").alias("a"), F.col("component").alias("b")).unionByName(more)).withColumnsRenamed({"node": "rep"}), "vector-components")
     counts = link_counts(reps.join(grouped, "rep"), threshold)
     whole = (
         reps.join(grouped, "rep", "left").join(counts, "rep", "left")

@@ -92,6 +92,40 @@ def test_embeddings(spark):
     assert embeddings.passes_needed(10**9) > embeddings.passes_needed(10**4)
 
 
+def _cone(n: int, hot: int, dim: int = 64):
+    """Vectors of which the first `hot` have cosine 0.9 with one another, and pairs among them 0.96."""
+    rng = np.random.default_rng(12)
+    unit = lambda a: a / np.linalg.norm(a, axis=1)[:, None]
+    x = unit(rng.standard_normal((n, dim)))
+    x[:hot] = unit(0.9**0.5 * x[0] + 0.1**0.5 * unit(rng.standard_normal((hot, dim))))
+    x[: hot // 2] = unit(0.96 * x[hot // 2 : hot] + (1 - 0.96**2) ** 0.5 * unit(rng.standard_normal((hot // 2, dim))))
+    return x
+
+
+def test_links_in_a_dense_cone(spark):
+    x = _cone(3000, 1000)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    want = near.sum(1)
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df, window=8).collect()}
+    assert want.sum() >= 1000
+    assert sum(got.values()) >= 0.995 * want.sum() and all(got[i] <= n for i, n in enumerate(want))
+
+
+def test_tiles_of_runs_find_the_same(spark):
+    x = _cone(800, 600)
+    reps = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "rep long, v array<double>")
+    rows, crowded = embeddings.keyed(reps, 800, window=8), embeddings.crowded_runs(reps, 800, window=8)
+    # One component of many members, as windows would have left it.
+    grouped = spark.createDataFrame([(i, 0) for i in range(200)], "rep long, component long")
+    found = []
+    for tile in (32, 4096):
+        links = embeddings.run_links(rows, crowded, grouped, tile=tile).unionByName(grouped.select(F.col("rep").alias("a"), F.col("component").alias("b")))
+        found.append({(r.node, r.component) for r in embeddings.components(links).collect()})
+    assert found[0] == found[1] and len(found[0]) > 500
+
+
 def test_brown(spark, sf_dir, texts):
     counts = collections.Counter()
     for i, x in texts.items():
