@@ -14,8 +14,8 @@ The expressions match as leftmost search would, but without backtracking: a run
 once and not at each of its places, so time is linear in a text of any length.
 
 Cases: null and blank texts have no spans (and the hash of an empty list); equal rows get equal results; an empty table
-gives an empty result and no patterns; a name or filler of more than 64 or 256 characters is no cue or identifier;
-redact() keeps extra columns.
+gives an empty result and no patterns; a name of more than 64 characters is no cue, while fillers and keys are
+found whole at any length; redact() keeps extra columns.
 """
 
 from __future__ import annotations
@@ -31,8 +31,10 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-KEY = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|(?=[0-9]{0,256}[a-f])(?=[a-f]{0,256}[0-9])[0-9a-f]{16,256}+)(?![A-Za-z0-9])"
-CUE = r"(?<![A-Za-z0-9_-])([A-Za-z][A-Za-z0-9_-]{1,63}+\x20{0,2}[=:#]\x20{0,2}[\"']?)((?:[A-Za-z0-9]|\+[0-9])[^\s\"',;<>]{3,255})"
+KEY = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|(?=[0-9]*+[a-f])(?=[a-f]*+[0-9])[0-9a-f]{16,}+)(?![A-Za-z0-9])"
+CUE = r"(?<![A-Za-z0-9_-])([A-Za-z][A-Za-z0-9_-]{1,63}+\x20{0,2}[=:#]\x20{0,2}[\"']?)((?:[A-Za-z0-9]|\+[0-9])[^\s\"',;<>]{3,}+)"
+#: What ends a sentence is cut from the end of a filler, by trimming: a pattern bound to the end is tried at each place.
+STOPS = ".:!?)"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 ROUNDS = 3
@@ -126,7 +128,7 @@ def cue_edges(docs: DataFrame, text: str = "text") -> DataFrame:
     found = F.regexp_extract_all("_t", F.lit(CUE), F.lit(0))
     edges = (
         rows.select(F.explode(found).alias("m"))
-        .select(F.lower(F.regexp_extract("m", CUE, 1)).alias("pattern"), F.regexp_replace(F.regexp_extract("m", CUE, 2), r"[.:!?)]+$", "").alias("instance"))
+        .select(F.lower(F.regexp_extract("m", CUE, 1)).alias("pattern"), F.rtrim(F.regexp_extract("m", CUE, 2), F.lit(STOPS)).alias("instance"))
         .groupBy("pattern", "instance").count().drop("count")
     )
     seed = F.lit(False)
@@ -167,7 +169,7 @@ def find(docs: DataFrame, patterns: Sequence[str], text: str = "text") -> DataFr
     rows = _spans(_spans(rows, "key", KEY), "cue", CUE)
 
     def filler(x: Column) -> Column:
-        m = F.regexp_replace(F.regexp_extract(x["m"], CUE, 2), r"[.:!?)]+$", "")
+        m = F.rtrim(F.regexp_extract(x["m"], CUE, 2), F.lit(STOPS))
         s = x["s"] + F.length(F.regexp_extract(x["m"], CUE, 1))
         return F.struct(s.alias("s"), (s + F.length(m)).alias("e"), m.alias("m"))
 
@@ -200,9 +202,9 @@ def redact(docs: DataFrame, patterns: Sequence[str], text: str = "text") -> Data
     passes = [(k, p, masked(k)) for k, p in KINDS.items()]
     passes.append(("key", KEY, lambda m: F.lit("<id>")))
     if patterns:
-        tail = r"[.:!?)]*$"
+        tail = lambda m: F.substr(m, F.length(F.rtrim(m, F.lit(STOPS))) + 1)
         known = lambda m: F.lower(F.regexp_extract(m, CUE, 1)).isin(*patterns) & F.regexp_extract(m, CUE, 2).rlike("[0-9@]")
-        passes.append(("cue", CUE, lambda m: F.when(known(m), F.concat(F.regexp_extract(m, CUE, 1), F.lit("<id>"), F.regexp_extract(m, tail, 0))).otherwise(m)))
+        passes.append(("cue", CUE, lambda m: F.when(known(m), F.concat(F.regexp_extract(m, CUE, 1), F.lit("<id>"), tail(m))).otherwise(m)))
     for kind, pattern, put in passes:
         found, between = _matches(F.col("_t"), kind, pattern)
         rows = rows.withColumn("_f", found).withColumn("_b", between)

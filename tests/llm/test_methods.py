@@ -228,6 +228,19 @@ def test_bootstrap_discovers_by_context(spark):
     assert clean[0] == "please mail contact: <email> today" and clean[90] == "please mail contact: <id> today" and clean[91] == 'a token = "<id>" here' and clean[92] == new[2][1]
 
 
+def test_long_secrets_are_found_whole(spark):
+    secret, key = "Zx9-" * 250, "0a" * 200
+    texts = {1: f'the token = "{secret}" is set', 2: f"see {key} here", 3: f"so token = {secret}?!", 4: f"see {'7' * 400} {'a' * 400} {key}g"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    patterns = ['token = "', "token = "]
+    got = {r.doc_id: r.spans for r in pii.report(df, patterns).collect()}
+    assert got == {1: "id:13:1013", 2: "id:4:404", 3: "id:11:1011", 4: ""}
+    clean = {r.doc_id: r.text for r in pii.redact(df, patterns).collect()}
+    assert clean == {1: 'the token = "<id>" is set', 2: "see <id> here", 3: "so token = <id>?!", 4: texts[4]}
+    taught = spark.createDataFrame([(i, f"a secret={i:04x}{key} b") for i in range(4)], "doc_id long, text string")
+    assert pii.learn(taught) == ["secret="]
+
+
 def test_url_model_on_words_held_out(spark):
     bad, good = urls.BAD_WORDS, urls.GOOD_WORDS
     weights = urls.train(urls.labelled_urls(spark, bad, good, urls.TEMPLATES[:4]))
