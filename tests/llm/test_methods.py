@@ -162,6 +162,45 @@ def test_brown_probabilities_sum_to_one(spark):
         assert math.isclose(p + brown.ALPHA / 10 ** model.denominators[k], 1, rel_tol=1e-9)
 
 
+def test_gains_are_those_of_exchange():
+    rng = np.random.default_rng(3)
+    m = rng.integers(0, 4, (30, 30)).astype(float)
+    of = rng.integers(0, 5, 30)
+    of[7] = 2
+    own = lambda c: np.arange(30)[(of == c) & (np.arange(30) != 7)]
+    near = np.array([m[7, own(c)].sum() for c in range(5)] + [m[own(c), 7].sum() for c in range(5)] + [m[7, 7]])
+
+    def likelihood(c):
+        one = np.eye(5)[np.where(np.arange(30) == 7, c, of)]
+        g = one.T @ m @ one
+        return brown._xlogx(g).sum() - brown._xlogx(g.sum(0)).sum() - brown._xlogx(g.sum(1)).sum()
+
+    one = np.eye(5)[of]
+    assert brown._moved(one.T @ m @ one, 2, np.arange(11), near) == int(np.argmax([likelihood(c) for c in range(5)]))
+
+
+def test_further_words_get_classes_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(brown, "UNITS", 11)
+    rng = np.random.default_rng(4)
+    tail = {kind: [f"{kind}{i}xx" for i in range(20)] for kind in "ab"}
+    texts = []
+    for i in range(400):
+        kinds = rng.integers(0, 2, 12)
+        texts.append(" ".join(f"{'pq'[k]} {tail['ab'[k]][rng.integers(3 if rng.random() < 0.5 else 20)]} {'uv'[k]}" for k in kinds))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = _common.stage_table(brown.word_counts(docs), "t")
+    model, _ = brown.train(docs, counts, 6)
+    units = brown._Units(model.frequent, model.suffixes, model.further)
+    a, b = ({int(model.of[units[w.encode()]]) for w in tail[kind]} for kind in "ab")
+    assert len(model.further) == 34 and not a & b
+    assert np.allclose((10**model.transitions).sum(1), 1)
+    held = collections.Counter()
+    for w, (_, log) in model.kept.items():
+        held[int(model.of[units[w]])] += 10 ** (log - model.denominators[model.of[units[w]]])
+    for k, p in held.items():
+        assert math.isclose(p + brown.ALPHA / 10 ** model.denominators[k], 1, rel_tol=1e-9)
+
+
 def test_quality(spark, sf_dir, texts):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     right = []
