@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sylva.operators import blocks, entities, filters, graph, rank, tables, tree
+from sylva.operators import blocks, entities, filters, graph, rank, raptor, tables, tree
 from sylva.plans import planning, strategies
 from sylva.sources import corpus
 
@@ -144,3 +144,11 @@ def test_stream_extends_index(spark, tmp_path):
     index = incremental.read_index(spark, str(tmp_path / "index"))
     assert bm25.search_one(index, spark, "number1", 1).first().id == 1
     assert {r.term: r.df for r in index.terms.collect()} == {"word": 2, "number0": 1, "number1": 1}
+
+
+def test_summary_tree_grows_with_the_texts(spark):
+    assert [list(raptor.cluster_counts(n)) for n in (12, 40, 5001)] == [[1], [1, 2, 3], [49, 50]] and raptor.cluster_counts(200) == range(1, 20) and raptor.cluster_counts(5000) == range(1, 50)
+    rng = random.Random(5)
+    texts = [(i, " ".join(f"topic{i % 8}word{rng.randrange(4)}" for _ in range(12))) for i in range(160)]
+    levels = [level.count() for level in raptor.build(spark.createDataFrame(texts, "id long, text string"))]
+    assert levels[0] == 160 and 3 < levels[1] < 16 and levels[-1] <= 5
