@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylva.functions import text as T
-from sylva.operators.graph import _cut
+from sylva.operators.graph import components
+from sylva.stages import free, short_shuffles, stage_table
 
 SEPARATOR = "<SEP>"
 
@@ -55,30 +56,59 @@ def dedup_relations(rows: DataFrame, order: str) -> DataFrame:
 def closest_names(asked: DataFrame, known: DataFrame, block: str, least: float = 0.9) -> DataFrame:
     """(block, asked, name, similarity): for each asked name the nearest known one of its block, if at least `least` alike.
 
-    Edit similarity s needs lengths within a factor s of each other, which the join tests before distances; equal names are found by an
-    equi-join and leave the comparison.
+    Equal names are found by an equi-join and leave the comparison. Of two names within the distance that `least` allows,
+    the known one, cut into one segment more than that distance, has a segment whole in the other, moved by no more
+    characters than the distance: names meet in an equi-join on length and segment, and only those that meet are compared.
     """
     exact = asked.join(known.select(block, F.col("name")), [F.col("asked") == F.col("name"), asked[block] == known[block]]).select(asked[block], "asked", "name", F.lit(1.0).alias("similarity"))
-    rest = asked.join(known.select(block, F.col("name").alias("asked")), [block, "asked"], "left_anti")
-    longest = F.greatest(F.length("asked"), F.length("name"))
-    near = (
-        rest.join(known, block).where(F.least(F.length("asked"), F.length("name")) >= least * longest)
-        .withColumn("similarity", 1 - F.levenshtein("asked", "name") / longest).where(F.col("similarity") >= least)
+    rest = asked.join(known.select(block, F.col("name").alias("asked")), [block, "asked"], "left_anti").where("asked is not null")
+    far = lambda n: f"cast(floor({1 - least:.6f} * ({n}) / {least:.6f} + 1e-6) as int)"
+    segment = lambda n, i: f"named_struct('i', {i}, 'at', cast(floor({i} * {n} / ({far(n)} + 1)) as int), 'to', cast(floor(({i} + 1) * {n} / ({far(n)} + 1)) as int))"
+    held = (
+        known.select(block, "name", F.length("name").alias("n")).where("n > 0")
+        .withColumn("s", F.expr(f"explode(transform(sequence(0, {far('n')}), i -> {segment('n', 'i')}))"))
+        .select(block, "name", "n", F.col("s.i").alias("i"), F.expr("substr(name, s.at + 1, s.to - s.at)").alias("part"))
+    )
+    probes = (
+        rest.select(block, "asked", F.length("asked").alias("m")).where("m > 0")
+        .withColumn("n", F.expr(f"explode(sequence(cast(greatest(1, ceil({least:.6f} * m - 1e-6)) as int), cast(floor(m / {least:.6f} + 1e-6) as int)))"))
+        .withColumn("s", F.expr(f"explode(transform(sequence(0, {far('n')}), i -> {segment('n', 'i')}))"))
+        .withColumn("by", F.expr(f"explode(sequence(-{far('n')}, {far('n')}))")).where("s.at + by >= 0 and s.to + by <= m")
+        .select(block, "asked", "n", F.col("s.i").alias("i"), F.expr("substr(asked, s.at + by + 1, s.to - s.at)").alias("part"))
     )
-    best = near.withColumn("_r", F.row_number().over(Window.partitionBy(block, "asked").orderBy(F.desc("similarity"), "name"))).where("_r = 1")
-    return exact.unionByName(best.select(block, "asked", "name", "similarity"))
+    met = probes.join(held, [block, "n", "i", "part"]).select(block, "asked", "name").distinct()
+    longest = F.greatest(F.length("asked"), F.length("name"))
+    near = met.withColumn("similarity", 1 - F.levenshtein("asked", "name") / longest).where(F.col("similarity") >= least)
+    best = near.groupBy(block, "asked").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "name")).alias("b")).select(block, "asked", "b.name", (-F.col("b.s")).alias("similarity"))
+    return exact.unionByName(best)
 
 
-def resolve_aliases(alias: DataFrame, max_rounds: int = 32) -> DataFrame:
-    """(old, new): alias chains followed to their ends by pointer doubling; a cycle ends at its smallest member."""
-    to = alias.select("old", "new")
-    for _ in range(max_rounds):
-        step = to.select(F.col("old").alias("_o"), F.col("new").alias("_n"))
-        longer = to.join(step, to["new"] == step["_o"], "left")
-        if longer.where("_n is not null and _n <> new").isEmpty():
-            break
-        to = longer.select("old", F.coalesce("_n", "new").alias("new"))
-    return to
+def resolve_aliases(alias: DataFrame) -> DataFrame:
+    """(old, new): alias chains followed to their ends; names of a cycle, and those that lead into it, end at its smallest member.
+
+    A name has one alias (of several the smallest counts), so the names that chains connect have one end in common: the
+    name that has no alias itself, or a cycle. Components find the first kind at once. For the rest, 2^k steps, by
+    doubling, with 2^k no less than their number, lead every name onto the cycle and reach all of it.
+
+    Cases: null names and names that stand for themselves have no row; nor has the end of a chain or the name a cycle ends at.
+    """
+    with short_shuffles(alias.sparkSession):
+        steps = stage_table(alias.where("old is not null and new is not null").groupBy("old").agg(F.min("new").alias("new")).where("old <> new"), "alias")
+        placed = stage_table(components(steps, "old", "new"), "alias-components")
+        ends = steps.select("new").distinct().join(steps.select(F.col("old").alias("new")), "new", "left_anti")
+        ended = stage_table(placed.join(ends, placed["node"] == ends["new"]).select("component", "new"), "alias-ends")
+        olds = steps.select(F.col("old").alias("node")).join(placed, "node")
+        found = olds.join(ended, "component").select(F.col("node").alias("old"), "new")
+        to = stage_table(olds.join(ended, "component", "left_anti").select(F.col("node").alias("old"), "component").join(steps, "old"), "alias-cycles")
+        n = to.count()
+        for _ in range(n.bit_length()):
+            ahead = to.select(F.col("old").alias("_o"), F.col("new").alias("_n"))
+            further = stage_table(to.join(ahead, to["new"] == ahead["_o"]).select("old", "component", F.col("_n").alias("new")), "alias-cycles")
+            free(to)
+            to = further
+    low = to.groupBy("component").agg(F.min("new").alias("low"))
+    round_ = to.join(low, "component").where("old <> low").select("old", F.col("low").alias("new"))
+    return found.unionByName(round_)
 
 
 def rewrite_relations(relations: DataFrame, entity_of: DataFrame) -> DataFrame:
@@ -101,14 +131,7 @@ def candidates(similar: DataFrame, far: float = 0.2, least: float = 0.5, g: floa
 def resolve(entities: DataFrame, pairs: DataFrame) -> DataFrame:
     """(entity, canonical): components of accepted pairs (entity, other); the smallest member stands for all.
 
-    Labels spread along pairs until none falls; the order in which entities came does not matter.
+    The order in which entities came does not matter; an entity in no pair stands for itself.
     """
-    both = pairs.select("entity", "other").union(pairs.select("other", "entity")).distinct().persist()
-    label = entities.select("entity", F.col("entity").alias("canonical"))
-    while True:
-        near = both.join(label.select(F.col("entity").alias("other"), F.col("canonical").alias("_c")), "other").groupBy("entity").agg(F.min("_c").alias("_c"))
-        new = _cut(label.join(near, "entity", "left").select("entity", F.least("canonical", "_c").alias("canonical")))
-        if new.join(label.withColumnRenamed("canonical", "_old"), "entity").where("canonical <> _old").isEmpty():
-            both.unpersist()
-            return new
-        label = new
+    placed = components(pairs, "entity", "other").select(F.col("node").alias("entity"), "component")
+    return entities.select("entity").join(placed, "entity", "left").select("entity", F.coalesce("component", "entity").alias("canonical"))
