@@ -1,59 +1,21 @@
-"""What the corpus operators share: stage tables, words, hashes to uniforms, connected components."""
+"""What the corpus operators share: words, hashes to uniforms, and the core's stage tables and components."""
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-import uuid
-import atexit
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sylva.operators.graph import components
+from sylva.stages import free, shared_dir, short_shuffles, small_or_shuffled, stage_path, stage_table
+
+__all__ = ["components", "free", "shared_dir", "short_shuffles", "small_or_shuffled", "stage_path", "stage_table"]
+
 #: The six ASCII separators, as a Java character class, and as characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a folder of our own."""
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="sylva-"))
-        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
-    return f"file://{_own_dir[0]}"
-
-
-def stage_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/stages/{label}-{uuid.uuid4().hex}"
-
-
-def stage_table(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: lineage ends here, and lost executors lose nothing."""
-    path = stage_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_stages(spark: SparkSession) -> None:
-    """Delete every stage table; call it once no result that reads them is needed."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/stages")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def small_or_shuffled(df: DataFrame, max_rows: int) -> DataFrame:
-    """df marked for broadcast if it has at most max_rows rows (counted), else as it is: then the join shuffles."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def let(value: Column, body) -> Column:
     """body(value) with value computed once: what stands in a lambda would otherwise be computed in each of its rounds."""
     return F.get(F.transform(F.array(value), body), 0)
@@ -85,58 +47,3 @@ def ascii_lower(text: Column) -> Column:
 def uniform(*keys: Column, seed: int) -> Column:
     """A number in (0, 1) that depends on keys and seed only."""
     return (F.shiftrightunsigned(F.xxhash64(*keys, F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-
-
-def _local_forest(frames):
-    """Links of one partition as stars: each node hangs on the least node that the partition connects it to."""
-    import pandas as pd
-
-    up: dict = {}
-
-    def find(x):
-        while (y := up.get(x, x)) != x:
-            up[x] = x = up.get(y, y)
-        return x
-
-    for frame in frames:
-        for u, v in zip(frame["u"].tolist(), frame["v"].tolist(), strict=True):
-            a, b = find(u), find(v)
-            if a != b:
-                up[max(a, b)] = min(a, b)
-        if len(up) > 2_000_000:
-            yield pd.DataFrame({"u": list(up), "v": [find(x) for x in list(up)]})
-            up.clear()
-    yield pd.DataFrame({"u": list(up), "v": [find(x) for x in list(up)]}, dtype="int64")
-
-
-def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of links, component being the smallest node reachable.
-
-    Each partition of the links first reduces them to a forest of stars. Then large-star and small-star rounds alternate:
-    each hangs the neighbours of a node on the smallest of them, so stars form in a number of rounds that grows with
-    the logarithm of a component's diameter. They have formed when no centre hangs on another node. Every round is a
-    written table; nothing is gathered on the driver.
-    """
-    edges = links.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v")
-    edges = stage_table(edges.repartition("v").mapInPandas(_local_forest, "u long, v long").where("u <> v"), "forest")
-    for _ in range(max_rounds):
-        if edges.join(edges.select(F.col("u").alias("_u")).distinct(), F.col("v") == F.col("_u"), "left_semi").isEmpty() and edges.groupBy("u").count().where("count > 1").isEmpty():
-            break
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-            .select("e.*")
-            .where("u <> v")
-            .distinct()
-        )
-        edges = stage_table(small, "star")
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )

@@ -22,8 +22,8 @@ A candidate pair is checked on its sizes, on the leading shingles that both kept
 difference that a linked pair may have, (n + m) / 9), and on whole sets.
 
 Cases: null, empty and blank texts have no shingles and link with nothing; equal texts are one class; rows that share a
-doc_id and differ in text are joined by their doc_id; a null doc_id counts as a document, is given its component and names none; an
-empty table gives an empty result; huge texts are shingled in segments; extra columns are not carried.
+doc_id and differ in text are joined by their doc_id; a null doc_id counts as a document, is given its component and names none; keep_one() leaves
+one row of each component, so no equal texts with words; an empty table gives an empty result; huge texts are shingled in segments; extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylva.llm._bytes import utf8
-from sylva.llm._common import components, small_or_shuffled, stage_table
+from sylva.llm._common import components, free, short_shuffles, small_or_shuffled, stage_table
 from sylva.llm.shingles import set_keys, shingle_set
 
 #: A link needs 100 * intersection >= PERCENT * union.
@@ -51,7 +51,12 @@ MAX_ORDERS = 4
 SPARE = 16
 LARGEST_BOUNDARY = 60
 TILE = 256
-MAX_BROADCAST_ROWS = 1_000_000
+#: Rows that a join sends to every worker at most, and words put last in the order at most.
+MAX_BROADCAST_ROWS = 200_000
+MAX_LATE = 1_000_000
+#: Rows of one class beyond which its name is sent to the workers.
+CROWD = 20_000
+CROWDS = 20_000
 
 
 def differences(n: Column | int) -> Column | int:
@@ -59,13 +64,18 @@ def differences(n: Column | int) -> Column | int:
     return F.floor(n * (100 - PERCENT) / 100).cast("int") if isinstance(n, Column) else n * (100 - PERCENT) // 100
 
 
+def _row_hash() -> Column:
+    """What tells rows of one doc_id apart: a hash of the text."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n, k, k2, head: the size of a document's set, two keys of the set, and its d + 2 + SPARE least hashes."""
+    """doc_id, h, n, k, k2, head: a row's hash, the size of its set, two keys of the set, and its d + 2 + SPARE least hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, k, k2, head = [], [], [], []
-            for data in utf8(batch.column(1)):
+            for data in utf8(batch.column(2)):
                 h = shingle_set(data)
                 a, b = set_keys(h)
                 n.append(len(h))
@@ -74,9 +84,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                 head.append(h[: differences(len(h)) + 2 + SPARE])
             at = np.cumsum([0, *map(len, head)], dtype=np.int32)
             heads = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.empty(0, np.int64), *head])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(k2, pa.int64()), heads], ["doc_id", "n", "k", "k2", "head"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(k2, pa.int64()), heads], ["doc_id", "h", "n", "k", "k2", "head"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, k long, k2 long, head array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_hash().alias("h"), "text").mapInArrow(run, "doc_id long, h long, n long, k long, k2 long, head array<long>")
 
 
 def _among(h: np.ndarray, late: np.ndarray) -> np.ndarray:
@@ -107,7 +117,7 @@ def reordered(heads: DataFrame, heavy: list[int]) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, heavy: list[int] | None = None) -> DataFrame:
-    """(k, n, hashes) of the documents whose doc_id and k are in wanted (doc_id, k).
+    """(k, n, hashes) of the documents whose doc_id and second set key are in wanted (doc_id, k, k2).
 
     With heavy, hashes is instead the head of the set in the order in which heavy hashes come last.
     """
@@ -116,9 +126,9 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, heavy: list[int] | None = Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], []]
-            for key, data in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+            for key, second, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
                 h = shingle_set(data)
-                if set_keys(h)[0] != key:
+                if set_keys(h)[1] != second:
                     continue  # another row with this doc_id
                 n = len(h)
                 if heavy is not None:
@@ -128,8 +138,8 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, heavy: list[int] | None = Non
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64()))], ["k", "n", "hashes"])
 
-    few = small_or_shuffled(wanted.select(F.col("doc_id").alias("_id"), "k"), MAX_BROADCAST_ROWS)
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, F.col("doc_id").eqNullSafe(F.col("_id"))).select("k", "text")
+    few = small_or_shuffled(wanted.select(F.col("doc_id").alias("_id"), "k", "k2"), MAX_BROADCAST_ROWS)
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, F.col("doc_id").eqNullSafe(F.col("_id"))).select("k", "k2", "text")
     return picked.mapInArrow(run, "k long, n long, hashes array<long>").dropDuplicates(["k"])
 
 
@@ -163,42 +173,44 @@ def weighed(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.sum("w").alias("w")).where("w > 1").select("a", "b")
 
 
-def verify(pairs: DataFrame, heads: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The linked ones of distinct pairs (a, b) of classes."""
-    na, nb = (classes.select(F.col("k").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    pairs = stage_table(pairs.join(na, "a").join(nb, "b").where(_compatible(F.col("na"), F.col("nb"))), "jaccard-sized")
-    none = pairs.select("a", "b").limit(0)
-    if pairs.isEmpty():
-        return none
+def _wanted(heads: DataFrame, keys: DataFrame) -> DataFrame:
+    return heads.select("k", "k2", "rep").join(keys, "k").select(F.col("rep").alias("doc_id"), "k", "k2")
+
+
+def verify(pairs: DataFrame, heads: DataFrame, docs: DataFrame) -> DataFrame:
+    """The linked ones of distinct pairs (a, b) of classes, as a stage table."""
+    na, nb = (heads.select(F.col("k").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    sized = stage_table(pairs.join(na, "a").join(nb, "b").where(_compatible(F.col("na"), F.col("nb"))), "jaccard-sized")
     ha, hb = (heads.select(F.col("k").alias(x), F.col("head").alias(f"h{x}")) for x in "ab")
     reach = F.least(F.element_at("ha", -1), F.element_at("hb", -1))
     upto = lambda h: F.filter(h, lambda x: x <= F.col("reach"))
     apart = F.size("fa") + F.size("fb") - 2 * F.size(F.array_intersect("fa", "fb"))
     likely = (
-        pairs.join(ha, "a").join(hb, "b")
+        sized.join(ha, "a").join(hb, "b")
         .withColumn("reach", reach).withColumn("fa", upto("ha")).withColumn("fb", upto("hb"))
         .where((100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("na") + F.col("nb")))
         .select("a", "b")
     )
     likely = stage_table(likely, "jaccard-likely")
-    if likely.isEmpty():
-        return none
+    free(sized)
     nodes = likely.select(F.col("a").alias("k")).union(likely.select("b")).distinct()
-    sets = stage_table(whole_sets(docs, classes.join(nodes, "k").select(F.col("rep").alias("doc_id"), "k")), "jaccard-sets")
+    sets = stage_table(whole_sets(docs, _wanted(heads, nodes)), "jaccard-sets")
     sa, sb = (sets.select(F.col("k").alias(x), F.col("hashes").alias(f"s{x}")) for x in "ab")
     common = F.size(F.array_intersect("sa", "sb"))
     linked = likely.join(sa, "a").join(sb, "b").withColumn("common", common).where(100 * F.col("common") >= PERCENT * (F.size("sa") + F.size("sb") - F.col("common")))
-    return stage_table(linked.select("a", "b"), "jaccard-links")
+    links = stage_table(linked.select("a", "b"), "jaccard-links")
+    free(likely, sets)
+    return links
 
 
 def _lists(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, w) of signatures with two members, and the members (sig, k, pivot, w, m) of those with more."""
+    """Stage tables of signatures with several members (sig, w, m, pivot, last), and of members (sig, k, pivot, w, m) of those with more than two."""
     lists = stage_table(
         entries.groupBy("sig", "w").agg(F.count("*").alias("m"), F.min("k").alias("pivot"), F.max("k").alias("last")).where("m > 1 and pivot <> last"), "jaccard-lists"
     )
     many = lists.where("m > 2").select("sig", "w", "pivot", "m")
     members = stage_table(entries.join(small_or_shuffled(many, MAX_BROADCAST_ROWS), ["sig", "w"]).select("sig", "k", "pivot", "w", "m"), "jaccard-members")
-    return lists.where("m = 2").select(F.col("pivot").alias("a"), F.col("last").alias("b"), "w"), members
+    return lists, members
 
 
 def _stars(members: DataFrame) -> DataFrame:
@@ -211,15 +223,18 @@ def _pairs(members: DataFrame) -> DataFrame:
     return x.join(members.select("sig", "w", F.col("k").alias("b")), ["sig", "w"]).where("a < b").select("a", "b", "w")
 
 
-def _connected(links: DataFrame) -> DataFrame:
-    return stage_table(components(links).withColumnsRenamed({"node": "k"}), "jaccard-components")
+def _connected(links: list[DataFrame]) -> DataFrame:
+    return stage_table(components(reduce(DataFrame.unionByName, links)).withColumnsRenamed({"node": "k"}), "jaccard-components")
 
 
-def _unconnected(members: DataFrame, joined: DataFrame) -> DataFrame:
-    """members with their component, of signatures whose members lie in several."""
-    placed = members.join(joined, "k", "left").withColumn("component", F.coalesce("component", "k"))
+def _unconnected(members: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """members with their component, of signatures whose members lie in several; links may be several tables."""
+    joined = _connected(links)
+    placed = stage_table(members.join(joined, "k", "left").withColumn("component", F.coalesce("component", "k")), "jaccard-placed")
     counts = placed.groupBy("sig", "w").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").select("sig", "w")
-    return stage_table(placed.join(counts, ["sig", "w"], "left_semi"), "jaccard-unconnected")
+    apart = stage_table(placed.join(counts, ["sig", "w"], "left_semi"), "jaccard-unconnected")
+    free(joined, placed)
+    return apart
 
 
 def _tile(group: pd.DataFrame, forest: bool) -> pd.DataFrame:
@@ -286,66 +301,124 @@ def _across(members: DataFrame, heads: DataFrame, forest: bool, tile: int = TILE
 def _frequent(leading: DataFrame) -> set[int]:
     """Shingles that more than LIGHT sets lead with; the most frequent if there are very many, as only the order depends on it."""
     counts = leading.select(F.explode("head").alias("h")).groupBy("h").count().where(F.col("count") > LIGHT)
-    return set(counts.orderBy(F.desc("count"), "h").limit(MAX_BROADCAST_ROWS).select("h").toArrow()["h"].to_pylist())
+    return set(counts.orderBy(F.desc("count"), "h").limit(MAX_LATE).select("h").toArrow()["h"].to_pylist())
 
 
-def link_classes(docs: DataFrame, sketched: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) between classes k, enough to connect all that are connected."""
-    reps = classes.where("n > 1").select(F.col("k").alias("_k"), "rep")
-    heads = stage_table(sketched.where("n > 1").join(reps, (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("k", "n", "head").dropDuplicates(["k"]), "jaccard-heads")
-    sizes = {int(r.n): r["count"] for r in heads.where(F.col("n") <= 2 * LARGEST_BOUNDARY).groupBy("n").count().collect()}
+def link_classes(docs: DataFrame, heads: DataFrame) -> list[DataFrame]:
+    """Links (a, b) between classes k, enough to connect all that are connected, as stage tables. heads: k, k2, rep, n, head."""
+    sizes = {int(r.n): r["count"] for r in heads.where((F.col("n") > 1) & (F.col("n") <= 2 * LARGEST_BOUNDARY)).groupBy("n").count().collect()}
     boundary, links = choose_boundary(sizes), []
-    late = _frequent(heads.select(F.slice("head", F.lit(1), (differences(F.col("n")) + 2)).alias("head")))
+    several = heads.where("n > 1")
+    late = _frequent(several.select(F.slice("head", F.lit(1), (differences(F.col("n")) + 2)).alias("head")))
 
     def from_texts(keys: DataFrame) -> DataFrame:
-        return whole_sets(docs, classes.join(keys, "k").select(F.col("rep").alias("doc_id"), "k"), sorted(late)).withColumnRenamed("hashes", "head")
+        return whole_sets(docs, _wanted(heads, keys), sorted(late)).withColumnRenamed("hashes", "head")
 
-    ready = stage_table(reordered(heads, sorted(late)), "jaccard-reordered")
-    leading = ready.where("enough").drop("enough")
-    short = ready.where("not enough").select("k")
+    leading = stage_table(reordered(several, sorted(late)), "jaccard-reordered")
+    short = leading.where("not enough").select("k")
     if not short.isEmpty():
-        leading = stage_table(leading.unionByName(from_texts(short)), "jaccard-leading")
-    left = None
+        whole = stage_table(leading.where("enough").drop("enough").unionByName(from_texts(short)), "jaccard-leading")
+        free(leading)
+        leading = whole
+    left = members = None
     for _ in range(MAX_ORDERS):
-        twos, members = _lists(signatures(leading, boundary))
-        found = weighed(twos.unionByName(_pairs(members.where(F.col("m") <= LIGHT))).unionByName(_stars(members.where(F.col("m") > LIGHT))))
-        links.append(verify(found, heads, docs, classes))
-        left = _unconnected(members.where(F.col("m") > LIGHT), _connected(reduce(DataFrame.unionByName, links)))
+        free(left, members)
+        lists, members = _lists(signatures(leading.select("k", "n", "head"), boundary))
+        twos = lists.where("m = 2").select(F.col("pivot").alias("a"), F.col("last").alias("b"), "w")
+        found = stage_table(weighed(twos.unionByName(_pairs(members.where(F.col("m") <= LIGHT))).unionByName(_stars(members.where(F.col("m") > LIGHT)))), "jaccard-found")
+        links.append(verify(found, heads, docs))
+        free(found, lists)
+        left = _unconnected(members.where(F.col("m") > LIGHT), links)
         touched = stage_table(left.select("k").distinct(), "jaccard-touched")
         if touched.isEmpty():
-            return reduce(DataFrame.unionByName, links)
+            free(left, members, leading, touched)
+            return links
         more = _frequent(leading.join(touched, "k", "left_semi"))
         if more <= late:
             break
         late |= more
-        leading, boundary = stage_table(from_texts(touched), "jaccard-leading"), 0
+        next_ = stage_table(from_texts(touched), "jaccard-leading")
+        free(leading, touched)
+        leading, boundary = next_, 0
+    free(leading, members)
     # First what is likeliest, so that near copies come together at a linear cost; then all pairs still across.
     for forest in (True, False):
-        links.append(verify(_across(left, heads, forest).distinct(), heads, docs, classes))
+        links.append(verify(_across(left, heads, forest).distinct(), heads, docs))
         if forest:
-            left = _unconnected(left.drop("component"), _connected(reduce(DataFrame.unionByName, links)))
+            apart = _unconnected(left.drop("component"), links)
+            free(left)
+            left = apart
             if left.isEmpty():
                 break
-    return reduce(DataFrame.unionByName, links)
+    free(left)
+    return links
+
+
+def _keyed(sketched: DataFrame) -> DataFrame:
+    """sketched with k a key that no two different sets share: where two do, the key is hashed anew with the second one."""
+    for seed in range(64):
+        twice = sketched.groupBy("k").agg(F.min("k2").alias("_low"), F.max("k2").alias("_high")).where("_low <> _high").select(F.col("k").alias("_k"))
+        if twice.isEmpty():
+            return sketched
+        anew = sketched.join(small_or_shuffled(stage_table(twice, "jaccard-collisions"), MAX_BROADCAST_ROWS), F.col("k") == F.col("_k"), "left")
+        anew = stage_table(anew.withColumn("k", F.when(F.col("_k").isNull(), F.col("k")).otherwise(F.xxhash64("k", "k2", F.lit(seed)))).drop("_k"), "jaccard-sketches")
+        free(sketched)
+        sketched = anew
+    raise RuntimeError("keys of sets collide again and again")
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, h, n, k, k2, component (of the class; null without words), component_id for each row of docs."""
+    with short_shuffles(docs.sparkSession):
+        sketched = _keyed(stage_table(sketches(docs), "jaccard-sketches"))
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "k2", "head"))
+        classes = sketched.where("n > 0").groupBy("k").agg(least.alias("r"), F.count("*").alias("rows"))
+        heads = stage_table(classes.select("k", F.col("r.k2").alias("k2"), F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"), F.col("r.head").alias("head"), "rows"), "jaccard-heads")
+        slim = stage_table(sketched.select("doc_id", "h", "n", "k", "k2"), "jaccard-rows")
+        free(sketched)
+        links = link_classes(docs, heads)
+        joined = _connected(links)
+        free(*links)
+        named = stage_table(heads.select("k", "rep", "rows").join(joined, "k", "left").withColumn("component", F.coalesce("component", "k")), "jaccard-named")
+        free(heads, joined)
+        lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+        of_class = stage_table(named.join(lowest, "component").select(F.col("k").alias("_k"), "component", "component_id", "rows"), "jaccard-classes")
+        free(named)
+    # Classes of very many rows, CROWDS at most, go to the workers; so no task gets all rows of one.
+    crowd = max(CROWD, slim.count() // CROWDS)
+    crowds = F.broadcast(of_class.where(F.col("rows") > crowd).select(F.col("_k").alias("_c"), F.col("component").alias("_cc"), F.col("component_id").alias("_ci")))
+    marked = slim.where("n > 0").join(crowds, F.col("k") == F.col("_c"), "left")
+    one = marked.where("_c is not null").select("doc_id", "h", "n", "k", "k2", F.col("_cc").alias("component"), F.col("_ci").alias("component_id"))
+    rest = marked.where("_c is null").select("doc_id", "h", "n", "k", "k2").join(of_class.where(F.col("rows") <= crowd).drop("rows"), F.col("k") == F.col("_k")).drop("_k")
+    none = slim.where("n = 0").withColumns({"component": F.lit(None).cast("long"), "component_id": F.lit(None).cast("long")})
+    return one.unionByName(rest).unionByName(none)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    sketched = stage_table(sketches(docs), "jaccard-sketches")
-    classes = stage_table(sketched.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("k2").alias("_low"), F.max("k2").alias("_high")), "jaccard-classes")
-    if not classes.where("_low <> _high").isEmpty():
-        raise RuntimeError("two different sets have one 64-bit key")
-    classes = classes.drop("_low", "_high")
-    grouped = _connected(link_classes(docs, sketched, classes))
-    named = classes.join(grouped, "k", "left").withColumn("component", F.coalesce("component", "k"))
-    lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_class = stage_table(named.join(lowest, "component").select(F.col("k").alias("_k"), "component_id"), "jaccard-named")
-    rows = sketched.select("doc_id", "n", "k").join(of_class, (F.col("k") == F.col("_k")) & (F.col("n") > 0), "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _grouped(docs).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component: that with the smallest doc_id. Other columns stay as they are."""
-    groups = near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    gone = small_or_shuffled(stage_table(groups, "jaccard-gone"), MAX_BROADCAST_ROWS)
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """One row of each component: that with the smallest doc_id, of several with it that with the smallest hash of its text.
+
+    Rows without words are linked with nothing, but of rows with the same doc_id and the same text one stays. Rows
+    without a doc_id come after those with one. Other columns stay as they are; of rows that differ in them alone, the
+    one whose JSON is smallest stays.
+    """
+    rows = stage_table(_grouped(docs).select("doc_id", "h", "n", "component"), "jaccard-grouped")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    with short_shuffles(docs.sparkSession):
+        kept = rows.where("n > 0").groupBy("component").agg(F.min(order).alias("best")).select(F.col("component").alias("_c"), "best")
+        each = rows.groupBy("doc_id", "h", "component").agg(F.count("*").alias("times"))
+        judged = each.join(kept, F.col("component") == F.col("_c"), "left").withColumn("_gone", F.coalesce(order != F.col("best"), F.lit(False)))
+        judged = stage_table(judged.where("_gone or times > 1").select(F.col("doc_id").alias("_jaccard_id"), F.col("h").alias("_jaccard_h"), F.col("_gone").alias("_jaccard_gone")), "jaccard-judged")
+        free(rows)
+        names = docs.columns
+        few = small_or_shuffled(judged, MAX_BROADCAST_ROWS)
+        marked = docs.join(few, F.col("doc_id").cast("long").eqNullSafe(F.col("_jaccard_id")) & (_row_hash() == F.col("_jaccard_h")), "left")
+        single = marked.where("_jaccard_gone is null").select(*names)
+        if judged.where("not _jaccard_gone").isEmpty():
+            return single
+        twice = marked.where("not _jaccard_gone").groupBy("_jaccard_id", "_jaccard_h").agg(F.min_by(F.struct(*names), F.to_json(F.struct(*names))).alias("_row"))
+        return single.unionByName(twice.select("_row.*"))

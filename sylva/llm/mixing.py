@@ -3,13 +3,14 @@
 Every source has a target in words. A document's expected number of copies is its source's target over the source's
 size, times its own importance if one is given, and three at most. Whole copies are certain. The remainder is an
 inclusion probability p: documents are ranked within their source by Pareto odds (u / (1 - u)) / (p / (1 - p)), u being
-uniform and drawn from the document's id, and the lowest are taken until the words still wanted are filled.
+uniform and drawn from the document's id, source and text, and the lowest are taken until the words still wanted are filled.
 
 The cut through a source is found from a histogram of the ranks (sources times BINS rows); only the documents in the
 one bin that the cut runs through are sorted, so a source with most rows is never gathered in a task.
 
 Cases: null text has size 0, and documents of size 0 are taken for 0 words; a null source is a source, the last; equal
-rows have equal ranks and are told apart arbitrarily, which changes no total; sources without words have target 0; an
+rows have equal ranks and each its own copies, which of them has more is arbitrary and changes no total; rows that
+share an id alone are drawn apart; sources without words have target 0; an
 empty table gives an empty result; extra columns are not carried.
 """
 
@@ -56,16 +57,18 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, cap: fl
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = MOST_COPIES, seed: int = SEED, importance: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = MOST_COPIES, seed: int = SEED, importance: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """One row for each document: doc_id, source, size, source_size, target, copies, taken (copies times size).
 
-    importance: a column of positive numbers; expected copies within a source are in proportion to it.
+    importance: a column of positive numbers; expected copies within a source are in proportion to it. carry: columns of
+    docs that each row brings along in a struct, row, so that copies need no join back to the documents.
     """
     mass = F.coalesce(F.col(importance).cast("double"), F.lit(1.0)) if importance else F.lit(1.0)
     rows = stage_table(
         docs.select(
             "doc_id", "source", n_words(F.col("text")).alias("size"), mass.alias("mass"),
-            uniform(F.col("doc_id"), F.coalesce("source", F.lit("")), seed=seed).alias("u"),
+            uniform(F.col("doc_id"), F.coalesce("source", F.lit("")), F.xxhash64("text"), seed=seed).alias("u"),
+            *([F.struct(*carry).alias("row")] if carry else []),
         ),
         "mix-sizes",
     )
@@ -107,5 +110,5 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = MOST_COP
     )
     copies = (F.col("certain") + F.col("more")).cast("int")
     return clear.unionByName(split).select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken")
+        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *(["row"] if carry else [])
     )
