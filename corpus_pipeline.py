@@ -13,39 +13,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.llm import jaccard, mixing, packing, pii, quality
-from sylva.llm._common import small_or_shuffled, stage_table
+from sylva.llm._common import stage_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and lie near their language's references."""
+    """Documents that pass the base rules and lie near their language's references.
+
+    Null, empty and blank texts fail the base rules and go; repeated rows are judged alike; no documents give none.
+    """
     return quality.kept(docs.select(*COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest doc_id."""
+    """One row of each group of near duplicates: that with the smallest doc_id; of repeated rows one.
+
+    Texts without words have no duplicates but rows repeated under one doc_id; rows without a doc_id come after those with one.
+    """
     return jaccard.keep_one(docs.select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with identifiers replaced by their kind and n_chars counted anew."""
+    """All documents, with identifiers replaced by their kind and n_chars counted anew.
+
+    A null text stays null and its n_chars is null; repeated rows are redacted alike; without seeds the base patterns alone count.
+    """
     patterns = pii.learn(docs.select("doc_id", "text"))
     return pii.redact(docs.select(*COLUMNS), patterns).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, which may be never."""
-    docs = docs.select(*COLUMNS)
-    times = stage_table(mixing.mix(docs).where("copies <> 1").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("copies")), "copies")
-    times = small_or_shuffled(times, mixing.MAX_BROADCAST_ROWS)
-    taken = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("copies", F.coalesce("copies", F.lit(1))).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    """Each row as often as the mix takes it, which may be never: sum(copies) rows in all.
+
+    Rows repeated under one doc_id have copies of their own; texts without words have size 0 and the copies that their
+    source's share gives; a null source is a source.
+    """
+    mixed = mixing.mix(docs.select(*COLUMNS), carry=COLUMNS).where("copies > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 tokens."""
+    """The pieces of all rows in sequences of 2048 tokens; a null or blank text is its closing id alone."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
