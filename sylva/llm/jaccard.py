@@ -11,12 +11,11 @@ first d + 1 and two of their first d + 2.
 * The boundary is where the number of subsets, summed over the sizes that occur, outweighs the postings to be scanned.
 
 Subset or shingle, a signature is a key of one equi-join. The order of shingles is by hash, but for shingles that more than
-LIGHT sets lead with: they come last. All members of a signature with up to LIGHT members are paired. Where there are
-more, each is paired with the least member alone, which is linear, and verified links give components: a group of n near
-copies costs about n comparisons. Where more than LIGHT members are not connected by then, the order is changed anew
-for these members and their leading shingles are joined again. That repeats while new frequent shingles turn up;
-what is still unconnected then is compared all against all, in tiles of TILE x TILE sets, on the hashes they kept, however
-many there are. So the result is exact.
+LIGHT sets lead with: they come last. All members of a signature with up to LIGHT members are paired. A longer list is
+scanned from its least member alone, which is linear, and verified links give components: a group of n near
+copies costs about n comparisons. Members of a long list that are not connected by then are compared all against all, in
+tiles of TILE x TILE sets, first on the hashes they kept, likeliest pairs first, then on whole sets, however many there are.
+A tile hands on the pairs that join components, not all that it finds. So the result is exact.
 
 A candidate pair is checked on its sizes, on the leading shingles that both kept (their differences alone must not exceed the
 difference that a linked pair may have, (n + m) / 9), and on whole sets.
@@ -46,11 +45,11 @@ PERCENT = 80
 #: What scanning a posting costs, against making one.
 SCAN_COST = 2.0
 LIGHT = 8
-MAX_ORDERS = 4
 #: Leading shingles kept beyond d + 2, so that most sets can be put in another order without their texts.
 SPARE = 16
 LARGEST_BOUNDARY = 60
 TILE = 256
+TILE_HASHES = 2_000_000
 #: Rows that a join sends to every worker at most, and words put last in the order at most.
 MAX_BROADCAST_ROWS = 200_000
 MAX_LATE = 1_000_000
@@ -179,9 +178,12 @@ def _wanted(heads: DataFrame, keys: DataFrame) -> DataFrame:
 
 def verify(pairs: DataFrame, heads: DataFrame, docs: DataFrame) -> DataFrame:
     """The linked ones of distinct pairs (a, b) of classes, as a stage table."""
-    na, nb = (heads.select(F.col("k").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    ends = stage_table(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct(), "jaccard-ends")
+    own = stage_table(heads.join(small_or_shuffled(ends, MAX_BROADCAST_ROWS), "k", "left_semi"), "jaccard-own")
+    free(ends)
+    na, nb = (own.select(F.col("k").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
     sized = stage_table(pairs.join(na, "a").join(nb, "b").where(_compatible(F.col("na"), F.col("nb"))), "jaccard-sized")
-    ha, hb = (heads.select(F.col("k").alias(x), F.col("head").alias(f"h{x}")) for x in "ab")
+    ha, hb = (own.select(F.col("k").alias(x), F.col("head").alias(f"h{x}")) for x in "ab")
     reach = F.least(F.element_at("ha", -1), F.element_at("hb", -1))
     upto = lambda h: F.filter(h, lambda x: x <= F.col("reach"))
     apart = F.size("fa") + F.size("fb") - 2 * F.size(F.array_intersect("fa", "fb"))
@@ -194,12 +196,12 @@ def verify(pairs: DataFrame, heads: DataFrame, docs: DataFrame) -> DataFrame:
     likely = stage_table(likely, "jaccard-likely")
     free(sized)
     nodes = likely.select(F.col("a").alias("k")).union(likely.select("b")).distinct()
-    sets = stage_table(whole_sets(docs, _wanted(heads, nodes)), "jaccard-sets")
+    sets = stage_table(whole_sets(docs, _wanted(own, nodes)), "jaccard-sets")
     sa, sb = (sets.select(F.col("k").alias(x), F.col("hashes").alias(f"s{x}")) for x in "ab")
     common = F.size(F.array_intersect("sa", "sb"))
     linked = likely.join(sa, "a").join(sb, "b").withColumn("common", common).where(100 * F.col("common") >= PERCENT * (F.size("sa") + F.size("sb") - F.col("common")))
     links = stage_table(linked.select("a", "b"), "jaccard-links")
-    free(likely, sets)
+    free(likely, sets, own)
     return links
 
 
@@ -237,65 +239,88 @@ def _unconnected(members: DataFrame, links: list[DataFrame]) -> DataFrame:
     return apart
 
 
-def _tile(group: pd.DataFrame, forest: bool) -> pd.DataFrame:
-    """Pairs (a, b) of two blocks of a group that lie in different components and may be linked by sizes and heads."""
+def _in_forest(order: np.ndarray, left: np.ndarray, right: np.ndarray, linked=None) -> list[int]:
+    """Of pairs, taken in order, those that join components left and right not joined by then (and are linked)."""
+    up: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while (w := up.get(v, v)) != v:
+            up[v] = v = up.get(w, w)
+        return v
+
+    taken = []
+    for at, p, q in zip(order.tolist(), left[order].tolist(), right[order].tolist(), strict=True):
+        p, q = find(p), find(q)
+        if p != q and (linked is None or linked(at)):
+            up[max(p, q)] = min(p, q)
+            taken.append(at)
+    return taken
+
+
+def _tile(group: pd.DataFrame, exact: bool) -> pd.DataFrame:
+    """Pairs (a, b) of two blocks of a group that join different components, at most one less than the tile has sets.
+
+    By heads alone they are the likeliest pairs and still to be verified. If exact, hashes holds whole sets: the pairs
+    are links, and join all components of the tile that links join.
+    """
     i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
     sides = [group[group["block"] == x] for x in (i, j)]
-    heads = [[np.asarray(h, np.int64) for h in side["head"]] for side in sides]
+    sets = [[np.asarray(h, np.int64) for h in side["hashes"]] for side in sides]
+    (n, m), (c, d), (k, o) = ([side[x].to_numpy(np.int64) for side in sides] for x in ("n", "component", "k"))
+    heads = [[h[: differences(len(h)) + 2 + SPARE] for h in part] for part in sets] if exact else sets
     tokens, counts = np.unique(np.concatenate([h for part in heads for h in part]), return_counts=True)
     shared = tokens[counts > 1]  # in a tile of one block all are counted once, in others twice at most: a superset is enough
     matrix = []
     for part in heads:
-        m = np.zeros((len(part), len(shared)), np.float32)
+        x = np.zeros((len(part), len(shared)), np.float32)
         for row, h in enumerate(part):
-            m[row, np.searchsorted(shared, h[_among(h, shared)])] = 1
-        matrix.append(m)
+            x[row, np.searchsorted(shared, h[_among(h, shared)])] = 1
+        matrix.append(x)
     last = [np.array([h[-1] for h in part], np.int64) for part in heads]
     # Of each head, how many hashes lie within the reach of each head of the other side.
     left = np.array([np.searchsorted(h, last[1], "right") for h in heads[0]], np.int64).reshape(len(heads[0]), -1)
     right = np.array([np.searchsorted(h, last[0], "right") for h in heads[1]], np.int64).reshape(len(heads[1]), -1).T
     apart = left + right - 2 * np.rint(matrix[0] @ matrix[1].T).astype(np.int64)
-    (n, m), (c, d), (k, o) = ([side[x].to_numpy(np.int64) for side in sides] for x in ("n", "component", "k"))
     fits = (100 + PERCENT) * apart <= (100 - PERCENT) * (n[:, None] + m[None, :])
     fits &= 100 * np.minimum(n[:, None], m[None, :]) >= PERCENT * np.maximum(n[:, None], m[None, :])
     fits &= (c[:, None] != d[None, :]) & (k[:, None] < o[None, :] if i == j else k[:, None] != o[None, :])
     x, y = np.nonzero(fits)
-    if forest:
-        # The likeliest pair first; one pair for each two components that have not been joined by then.
-        order = np.argsort(apart[x, y] / (n[x] + m[y]), kind="stable")
-        up: dict[int, int] = {}
-
-        def find(v: int) -> int:
-            while (w := up.get(v, v)) != v:
-                v = w
-            return v
-
-        taken = []
-        for at, p, q in zip(order.tolist(), c[x[order]].tolist(), d[y[order]].tolist(), strict=True):
-            p, q = find(p), find(q)
-            if p != q:
-                up[max(p, q)] = min(p, q)
-                taken.append(at)
-        x, y = x[taken], y[taken]
-    return pd.DataFrame({"a": np.minimum(k[x], o[y]), "b": np.maximum(k[x], o[y])})
 
+    def linked(at: int) -> bool:
+        a, b = sets[0][x[at]], sets[1][y[at]]
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * common >= PERCENT * (len(a) + len(b) - common)
+
+    taken = _in_forest(np.argsort(apart[x, y] / (n[x] + m[y]), kind="stable"), c[x], d[y], linked if exact else None)
+    x, y = x[taken], y[taken]
+    return pd.DataFrame({"a": np.minimum(k[x], o[y]), "b": np.maximum(k[x], o[y])})
 
-def _across(members: DataFrame, heads: DataFrame, forest: bool, tile: int = TILE) -> DataFrame:
-    """Pairs (a, b) of members of signatures, in different components, that may be linked.
 
-    With forest, a tile gives only the likeliest pairs that would join all that could be joined in it.
+def _across(members: DataFrame, heads: DataFrame, docs: DataFrame, exact: bool, tile: int = TILE, hashes: int = TILE_HASHES) -> DataFrame:
+    """Pairs (a, b) of members of signatures, in different components: the likeliest ones of each tile, or if exact its links.
 
     Sets that share many signatures would meet in each; so signatures that share members make one group, and a group
-    is compared once, in tiles, on its heads.
+    is compared once, in tiles of some `tile` sets by `tile`, fewer where sets are so large that a block would hold more
+    than `hashes` hashes.
     """
-    groups = components(members.select(F.col("k").alias("a"), F.xxhash64("sig", "w", F.lit("signature")).alias("b")))
-    placed = stage_table(
-        members.select("k", "component").distinct().join(groups.select(F.col("node").alias("k"), F.col("component").alias("group")), "k").join(heads.select("k", "n", "head"), "k"), "jaccard-groups"
-    )
-    sizes = placed.groupBy("group").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
+    with_sigs = members.select(F.col("k").alias("a"), F.xxhash64("sig", "w", F.lit("signature")).alias("b"))
+    groups = components(with_sigs).select(F.col("node").alias("k"), F.col("component").alias("group"))
+    keys = stage_table(members.select("k", "component").distinct().join(groups, "k"), "jaccard-groups")
+    # Groups all of whose members are in one component have no pairs across.
+    several = keys.groupBy("group").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").select("group")
+    if exact:
+        sets = stage_table(whole_sets(docs, _wanted(heads, keys.join(several, "group", "left_semi").select("k"))), "jaccard-sets")
+    else:
+        sets = heads.select("k", "n", F.col("head").alias("hashes"))
+    placed = stage_table(keys.join(several, "group", "left_semi").join(sets, "k"), "jaccard-placed")
+    free(keys, sets)
+    blocks = F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum(F.size("hashes")) / hashes)).cast("int")
+    sizes = placed.groupBy("group").agg(blocks.alias("blocks"))
     dealt = placed.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
-    return tiles.groupBy("group", "i", "j").applyInPandas(lambda group: _tile(group, forest), "a long, b long")
+    pairs = stage_table(tiles.groupBy("group", "i", "j").applyInPandas(lambda group: _tile(group, exact), "a long, b long"), "jaccard-across")
+    free(placed)
+    return pairs
 
 
 def _frequent(leading: DataFrame) -> set[int]:
@@ -311,46 +336,32 @@ def link_classes(docs: DataFrame, heads: DataFrame) -> list[DataFrame]:
     several = heads.where("n > 1")
     late = _frequent(several.select(F.slice("head", F.lit(1), (differences(F.col("n")) + 2)).alias("head")))
 
-    def from_texts(keys: DataFrame) -> DataFrame:
-        return whole_sets(docs, _wanted(heads, keys), sorted(late)).withColumnRenamed("hashes", "head")
-
     leading = stage_table(reordered(several, sorted(late)), "jaccard-reordered")
     short = leading.where("not enough").select("k")
     if not short.isEmpty():
-        whole = stage_table(leading.where("enough").drop("enough").unionByName(from_texts(short)), "jaccard-leading")
+        from_texts = whole_sets(docs, _wanted(heads, short), sorted(late)).withColumnRenamed("hashes", "head")
+        whole = stage_table(leading.where("enough").drop("enough").unionByName(from_texts), "jaccard-leading")
         free(leading)
         leading = whole
-    left = members = None
-    for _ in range(MAX_ORDERS):
-        free(left, members)
-        lists, members = _lists(signatures(leading.select("k", "n", "head"), boundary))
-        twos = lists.where("m = 2").select(F.col("pivot").alias("a"), F.col("last").alias("b"), "w")
-        found = stage_table(weighed(twos.unionByName(_pairs(members.where(F.col("m") <= LIGHT))).unionByName(_stars(members.where(F.col("m") > LIGHT)))), "jaccard-found")
-        links.append(verify(found, heads, docs))
-        free(found, lists)
-        left = _unconnected(members.where(F.col("m") > LIGHT), links)
-        touched = stage_table(left.select("k").distinct(), "jaccard-touched")
-        if touched.isEmpty():
-            free(left, members, leading, touched)
-            return links
-        more = _frequent(leading.join(touched, "k", "left_semi"))
-        if more <= late:
-            break
-        late |= more
-        next_ = stage_table(from_texts(touched), "jaccard-leading")
-        free(leading, touched)
-        leading, boundary = next_, 0
-    free(leading, members)
-    # First what is likeliest, so that near copies come together at a linear cost; then all pairs still across.
-    for forest in (True, False):
-        links.append(verify(_across(left, heads, forest).distinct(), heads, docs))
-        if forest:
-            apart = _unconnected(left.drop("component"), links)
-            free(left)
-            left = apart
-            if left.isEmpty():
-                break
-    free(left)
+    lists, members = _lists(signatures(leading.select("k", "n", "head"), boundary))
+    free(leading)
+    twos = lists.where("m = 2").select(F.col("pivot").alias("a"), F.col("last").alias("b"), "w")
+    found = stage_table(weighed(twos.unionByName(_pairs(members.where(F.col("m") <= LIGHT))).unionByName(_stars(members.where(F.col("m") > LIGHT)))), "jaccard-found")
+    links.append(verify(found, heads, docs))
+    free(found, lists)
+    left = _unconnected(members.where(F.col("m") > LIGHT), links)
+    free(members)
+    if left.isEmpty():
+        free(left)
+        return links
+    # First what is likeliest, so that near copies come together at a linear cost; then whole sets, all still across.
+    likeliest = _across(left, heads, docs, exact=False)
+    links.append(verify(likeliest.distinct(), heads, docs))
+    apart = _unconnected(left.drop("component"), links)
+    free(left, likeliest)
+    if not apart.isEmpty():
+        links.append(_across(apart, heads, docs, exact=True))
+    free(apart)
     return links
 
 
