@@ -13,7 +13,8 @@ first d + 1 and two of their first d + 2.
 Subset or shingle, a signature is a key of one equi-join. The order of shingles is by hash, but for shingles that more than
 LIGHT sets lead with: they come last. All members of a signature with up to LIGHT members are paired. A longer list is
 scanned from its least member alone, which is linear, and verified links give components: a group of n near
-copies costs about n comparisons. Members of a long list that are not connected by then are compared all against all, in
+copies costs about n comparisons. Where members of a long list are not connected by then, the order is changed anew for them,
+as long as that finds new frequent shingles and MAX_ORDERS times at most. What is still apart is compared all against all, in
 tiles of TILE x TILE sets, first on the hashes they kept, likeliest pairs first, then on whole sets, however many there are.
 A tile hands on the pairs that join components, not all that it finds. So the result is exact.
 
@@ -47,6 +48,7 @@ SCAN_COST = 2.0
 LIGHT = 8
 #: Leading shingles kept beyond d + 2, so that most sets can be put in another order without their texts.
 SPARE = 16
+MAX_ORDERS = 3
 LARGEST_BOUNDARY = 60
 TILE = 256
 TILE_HASHES = 2_000_000
@@ -303,7 +305,10 @@ def _across(members: DataFrame, heads: DataFrame, docs: DataFrame, exact: bool,
     is compared once, in tiles of some `tile` sets by `tile`, fewer where sets are so large that a block would hold more
     than `hashes` hashes.
     """
-    with_sigs = members.select(F.col("k").alias("a"), F.xxhash64("sig", "w", F.lit("signature")).alias("b"))
+    # Of two sets that may be linked by their sizes, the larger one's bucket is the smaller one's or the next.
+    bucket = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)))
+    sized = members.join(heads.select("k", "n"), "k").withColumn("bucket", F.explode(F.array(bucket, bucket + 1)))
+    with_sigs = sized.select(F.col("k").alias("a"), F.xxhash64("sig", "w", "bucket").alias("b"))
     groups = components(with_sigs).select(F.col("node").alias("k"), F.col("component").alias("group"))
     keys = stage_table(members.select("k", "component").distinct().join(groups, "k"), "jaccard-groups")
     # Groups all of whose members are in one component have no pairs across.
@@ -334,26 +339,41 @@ def link_classes(docs: DataFrame, heads: DataFrame) -> list[DataFrame]:
     sizes = {int(r.n): r["count"] for r in heads.where((F.col("n") > 1) & (F.col("n") <= 2 * LARGEST_BOUNDARY)).groupBy("n").count().collect()}
     boundary, links = choose_boundary(sizes), []
     several = heads.where("n > 1")
-    late = _frequent(several.select(F.slice("head", F.lit(1), (differences(F.col("n")) + 2)).alias("head")))
+    late = _frequent(several)
+
+    def from_texts(keys: DataFrame) -> DataFrame:
+        return whole_sets(docs, _wanted(heads, keys), sorted(late)).withColumnRenamed("hashes", "head")
+
 
     leading = stage_table(reordered(several, sorted(late)), "jaccard-reordered")
     short = leading.where("not enough").select("k")
     if not short.isEmpty():
-        from_texts = whole_sets(docs, _wanted(heads, short), sorted(late)).withColumnRenamed("hashes", "head")
-        whole = stage_table(leading.where("enough").drop("enough").unionByName(from_texts), "jaccard-leading")
+        whole = stage_table(leading.where("enough").drop("enough").unionByName(from_texts(short)), "jaccard-leading")
         free(leading)
         leading = whole
-    lists, members = _lists(signatures(leading.select("k", "n", "head"), boundary))
+    left = None
+    for order in range(MAX_ORDERS):
+        lists, members = _lists(signatures(leading.select("k", "n", "head"), boundary))
+        twos = lists.where("m = 2").select(F.col("pivot").alias("a"), F.col("last").alias("b"), "w")
+        found = stage_table(weighed(twos.unionByName(_pairs(members.where(F.col("m") <= LIGHT))).unionByName(_stars(members.where(F.col("m") > LIGHT)))), "jaccard-found")
+        links.append(verify(found, heads, docs))
+        free(found, lists, left)
+        left = _unconnected(members.where(F.col("m") > LIGHT), links)
+        free(members)
+        if left.isEmpty():
+            free(left, leading)
+            return links
+        if order + 1 < MAX_ORDERS:
+            touched = stage_table(left.select("k").distinct(), "jaccard-touched")
+            more = _frequent(leading.join(small_or_shuffled(touched, MAX_BROADCAST_ROWS), "k", "left_semi"))
+            if more <= late:
+                free(touched)
+                break
+            late |= more
+            anew = stage_table(from_texts(touched), "jaccard-leading")
+            free(leading, touched)
+            leading, boundary = anew, 0
     free(leading)
-    twos = lists.where("m = 2").select(F.col("pivot").alias("a"), F.col("last").alias("b"), "w")
-    found = stage_table(weighed(twos.unionByName(_pairs(members.where(F.col("m") <= LIGHT))).unionByName(_stars(members.where(F.col("m") > LIGHT)))), "jaccard-found")
-    links.append(verify(found, heads, docs))
-    free(found, lists)
-    left = _unconnected(members.where(F.col("m") > LIGHT), links)
-    free(members)
-    if left.isEmpty():
-        free(left)
-        return links
     # First what is likeliest, so that near copies come together at a linear cost; then whole sets, all still across.
     likeliest = _across(left, heads, docs, exact=False)
     links.append(verify(likeliest.distinct(), heads, docs))
