@@ -201,6 +201,35 @@ def test_further_words_get_classes_of_their_own(spark, monkeypatch):
         assert math.isclose(p + brown.ALPHA / 10 ** model.denominators[k], 1, rel_tol=1e-9)
 
 
+def test_brown_score_is_that_of_a_plain_class_bigram_model(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"{'abcd'[k]}{rng.integers(30)}" for k in rng.integers(0, 4, rng.integers(0, 40))) for _ in range(300)] + [None, "new words Only here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    model, _ = brown.train(docs, _common.stage_table(brown.word_counts(docs), "t"), 5)
+    units = brown._Units(model.frequent, model.suffixes, model.further)
+    cls = lambda w: int(model.of[units[w]])
+    tokens = {i: [w.lower().encode() for w in (x or "").split()] + [b""] for i, x in enumerate(texts)}
+    counts, pairs = collections.Counter(), collections.Counter()
+    for i, ws in tokens.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            counts.update(ws)
+            pairs.update((cls(a), cls(b)) for a, b in zip([b"", *ws], ws))
+    classes, total = len(model.transitions), sum(pairs.values())
+    single = [(sum(n for (_, d), n in pairs.items() if d == c) + brown.ALPHA) / (total + brown.ALPHA * classes) for c in range(classes)]
+
+    def p(a, b):
+        follows = {d: n for (c, d), n in pairs.items() if c == a}
+        kinds = max(len(follows), 1)
+        return (follows.get(b, 0) + kinds * single[b]) / (sum(follows.values()) + kinds)
+
+    room = [brown.ALPHA + sum(counts[w] + brown.ALPHA for w in counts if cls(w) == c) for c in range(classes)]
+    for r in brown.score(docs, 5).collect():
+        ws = tokens[r.doc_id]
+        plain = sum(math.log10(p(cls(a), cls(b)) * (counts[b] + brown.ALPHA) / room[cls(b)]) for a, b in zip([b"", *ws], ws))
+        assert math.isclose(r.score, plain, rel_tol=1e-9, abs_tol=1e-9)
+        assert math.isclose(r.perplexity, 10 ** (-plain / len(ws)), rel_tol=1e-9)
+
+
 def test_quality(spark, sf_dir, texts):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     right = []
