@@ -3,8 +3,8 @@
 Documents become token ids and one closing id each; only documents longer than a sequence are cut. Pieces that fill a
 sequence are done. The others are packed in groups of bounded size by best fit in order of falling length. Nearly full
 bins are emitted; underfull bins become items, the groups of FAN neighbours merge, and best fit runs over the bins
-again, up a tree to one group. A group hands at most CARRY of its emptiest bins up and emits the others as they are,
-so no task's items grow with the corpus, and no piece is dropped whatever the lengths.
+again, up a tree, to one group where the underfull bins are at most GROUP_ITEMS; where there are more, to as many groups
+as hold them. So no task's items grow with the corpus, every underfull bin goes up, and no piece is dropped.
 
 Ids of a white-space-delimited chunk do not depend on its neighbours with the given tokenizers (normalisation,
 pre-tokenisation and merges stop at white space), so workers keep chunk -> ids in a bounded dictionary.
@@ -35,7 +35,6 @@ GROUP_ITEMS = 32768
 FAN = 8
 #: A bin with no more room than this is nearly full.
 SLACK = 8
-CARRY = 4096
 #: Chunks of which a worker remembers the ids.
 REMEMBERED = 600_000
 
@@ -162,22 +161,20 @@ def best_fit(lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, n
     return bins, offsets, np.array(fill, np.int64)
 
 
-def _round(items: pd.DataFrame, level: int, width: int, slack: int, carry: int) -> pd.DataFrame:
+def _round(items: pd.DataFrame, level: int, width: int, slack: int) -> pd.DataFrame:
     """items (with group and length) with bin, offset, fill and whether the bin goes on to the next round."""
     order = items.sort_values([c for c in ("doc_id", "piece", "start", "ids_crc32", "item") if c in items], kind="stable").reset_index(drop=True)
     bins, offsets, fill = best_fit(order["length"].to_numpy(np.int64), width)
-    emptiest = np.argsort(fill, kind="stable")[:carry]
-    on = np.zeros(len(fill), bool)
-    on[emptiest] = fill[emptiest] < width - slack
+    on = fill < width - slack
     base = (level << 56) | (int(order["group"].iloc[0]) << 24)
     return order.assign(bin=base + bins, offset=offsets, fill=fill[bins], on=on[bins])
 
 
-def _at_level(level: int, width: int, slack: int, carry: int):
-    return lambda group: _round(group, level, width, slack, carry)
+def _at_level(level: int, width: int, slack: int):
+    return lambda group: _round(group, level, width, slack)
 
 
-def pack(items: DataFrame, width: int = WIDTH, slack: int = SLACK, group_items: int = GROUP_ITEMS, fan: int = FAN, carry: int = CARRY) -> DataFrame:
+def pack(items: DataFrame, width: int = WIDTH, slack: int = SLACK, group_items: int = GROUP_ITEMS, fan: int = FAN) -> DataFrame:
     """items (PIECES) with sequence_id and offset. Bins take items of group_items rows at a time at first."""
     whole = items.where(F.col("length") >= width).withColumn("sequence_id", (F.lit(1 << 62) + F.monotonically_increasing_id())).withColumn("offset", F.lit(0).cast("long"))
     rest = items.where(F.col("length") < width)
@@ -187,7 +184,7 @@ def pack(items: DataFrame, width: int = WIDTH, slack: int = SLACK, group_items:
     first = stage_table(
         rest.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
         .groupBy("group")
-        .applyInPandas(_at_level(0, width, slack, carry), f"{PIECES}, group long, bin long, offset long, fill long, on boolean"),
+        .applyInPandas(_at_level(0, width, slack), f"{PIECES}, group long, bin long, offset long, fill long, on boolean"),
         "pack-0",
     )
     # Where each bin of the first round has come to: only bins that went on have a row.
@@ -196,11 +193,13 @@ def pack(items: DataFrame, width: int = WIDTH, slack: int = SLACK, group_items:
     level = 0
     while groups > 1:
         level += 1
-        groups = -(-groups // fan)
+        fewer = max(-(-groups // fan), -(-up.count() // group_items))
+        if fewer >= groups:
+            break
         bins = (
-            up.select(F.col("bin").alias("item"), F.col("fill").alias("length"), F.expr(f"group div {fan}").alias("group"))
+            up.select(F.col("bin").alias("item"), F.col("fill").alias("length"), F.expr(f"group * {fewer} div {groups}").alias("group"))
             .groupBy("group")
-            .applyInPandas(_at_level(level, width, slack, carry), "item long, length long, group long, bin long, offset long, fill long, on boolean")
+            .applyInPandas(_at_level(level, width, slack), "item long, length long, group long, bin long, offset long, fill long, on boolean")
         )
         bins = stage_table(bins, f"pack-{level}")
         to = bins.select(F.col("item"), F.col("bin").alias("to"), F.col("offset").alias("by"))
@@ -211,6 +210,7 @@ def pack(items: DataFrame, width: int = WIDTH, slack: int = SLACK, group_items:
             moved = moved.join(later, moved["to"] == later["_item"], "left").select("item", F.coalesce("_to", "to").alias("to"), (F.col("by") + F.coalesce("_by", F.lit(0))).alias("by"))
             moved = stage_table(moved, f"pack-moved-{level}")
         up = bins.where("on and offset = 0").select("bin", "fill", "group")
+        groups = fewer
     if moved is not None:
         first = first.join(moved, first["bin"] == moved["item"], "left").withColumn("bin", F.coalesce("to", "bin")).withColumn("offset", F.col("offset") + F.coalesce("by", F.lit(0)))
     names = [c.split()[0] for c in PIECES.split(", ")]

@@ -7,8 +7,9 @@ of score 1. In each round a pattern scores the mean of its distinct instances, i
 CONFIDENT or more, and an instance then scores the noisy or of its patterns that reach CONFIDENT. Fillers that hold a
 digit or an @ and follow a pattern of the last round become spans of kind `id`, unless they overlap a base span.
 
-Scoring runs over a table of distinct edges, aggregated before it is shuffled. The PATTERNS best patterns are the model;
-they alone reach the driver and become a literal of the second pass, which like the first is a projection.
+Scoring runs over a table of distinct edges, aggregated before it is shuffled. The confident patterns, all of them, are the
+model; they alone reach the driver and become a hash set in the second pass, which like the first is a projection. Seeds are
+identifiers by their shape and are reported wherever they stand: base kinds by name, keys as `id`.
 
 The expressions match as leftmost search would, but without backtracking: a run of letters or digits is tried
 once and not at each of its places, so time is linear in a text of any length.
@@ -40,7 +41,6 @@ OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 ROUNDS = 3
 SUPPORT = 3
 CONFIDENT = 0.8
-PATTERNS = 5000
 BLOCK = 512
 
 SPAN = "struct<s:bigint,e:bigint,m:string>"
@@ -155,10 +155,9 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, co
     return best.withColumnRenamed("conf", "score")
 
 
-def learn(docs: DataFrame, text: str = "text", most: int = PATTERNS) -> list[str]:
-    """The patterns that docs teach, the best `most` by score times log support."""
-    best = bootstrap(cue_edges(docs, text)).orderBy((F.col("score") * F.log2(1 + F.col("support"))).desc(), "pattern").limit(most)
-    return [r.pattern for r in best.select("pattern").collect()]
+def learn(docs: DataFrame, text: str = "text") -> list[str]:
+    """The patterns that docs teach: all that are confident in the last round, aggregated names with their mark."""
+    return sorted(r.pattern for r in bootstrap(cue_edges(docs, text)).select("pattern").collect())
 
 
 def find(docs: DataFrame, patterns: Sequence[str], text: str = "text") -> DataFrame:

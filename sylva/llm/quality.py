@@ -15,7 +15,7 @@ reference; equal rows get equal results; an empty table gives an empty result; k
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylva.llm._common import SPACE_CLASS, where_late, words
@@ -23,7 +23,9 @@ from sylva.llm._common import SPACE_CLASS, where_late, words
 WINDOW = 8
 MIN_WORDS = 50
 LONG = 200
-MAX_CHARS, MAX_WORDS_LONG, MAX_WORDS_SHORT = 0.10, 0.09, 0.12
+#: Greatest Jensen-Shannon distances (base 2) from the reference: of characters, of words in long texts and in shorter ones.
+MAX_CHARS, MAX_WORDS_LONG, MAX_WORDS_SHORT = 0.316, 0.300, 0.346
+REFERENCE_WORDS = 20
 
 #: Rounded shares, in running text, of common words by language, from general frequency lists, in per mille.
 COMMON_WORDS = {
@@ -93,14 +95,39 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs with the base counts, char_divergence, word_divergence and kept."""
-    known = list(COMMON_WORDS)
-    lists = {k: list(v) for k, v in COMMON_WORDS.items()}
+def references(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = REFERENCE_WORDS) -> tuple[dict, dict]:
+    """References built from a corpus of plain text, in the form of COMMON_WORDS and CHAR_SHARES, in shares per mille.
+
+    The `most` most frequent words of each language (ties by word) with their share of its words, and the shares of its
+    characters by class. What comes to the driver is `most` words and seven shares a language. Documents without a
+    language are left out.
+    """
+    rows = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    counts = rows.select("lang", F.explode(F.transform(words(F.col("_t")), lambda x: F.lower(x))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("c"))
+    order = Window.partitionBy("lang").orderBy(F.desc("c"), "w")
+    total = Window.partitionBy("lang")
+    best = counts.withColumn("n", F.sum("c").over(total)).withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
+    common: dict = {}
+    for r in best.orderBy("lang", "r").collect():
+        common.setdefault(r.lang, {})[r.w] = 1000 * r.c / r.n
+    classes = [_count("_t", "[A-Z]"), _count("_t", "[0-9]"), _count("_t", SPACE_CLASS), _count("_t", STOPS), _count("_t", SYMBOLS), (F.octet_length("_t") - F.length("_t")).cast("long")]
+    sums = rows.groupBy("lang").agg(F.sum(F.length("_t").cast("long")).alias("n"), *[F.sum(c).alias(f"c{i}") for i, c in enumerate(classes)])
+    shares = {}
+    for r in sums.collect():
+        c = [r[f"c{i}"] for i in range(6)]
+        every = [max(r.n - sum(c), 0), *c]
+        shares[r.lang] = tuple(1000 * x / max(sum(every), 1) for x in every)
+    return common, {k: shares[k] for k in common}
+
+
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", common_words: dict = COMMON_WORDS, char_shares: dict = CHAR_SHARES) -> DataFrame:
+    """docs with the base counts, char_distance, word_distance (Jensen-Shannon, base 2) and kept."""
+    known = list(common_words)
+    lists = {k: list(v) for k, v in common_words.items()}
     # Filtering before lowering spares most words the lowering.
-    forms = sorted({f for table in COMMON_WORDS.values() for w in table for f in (w, w.capitalize(), w.upper())})
-    word_shares = {k: [x / 1000 for x in v.values()] for k, v in COMMON_WORDS.items()}
-    shares = {k: [x / sum(v) for x in v] for k, v in CHAR_SHARES.items()}
+    forms = sorted({f for table in common_words.values() for w in table for f in (w, w.capitalize(), w.upper())})
+    word_shares = {k: [x / 1000 for x in v.values()] for k, v in common_words.items()}
+    shares = {k: [x / sum(v) for x in v] for k, v in char_shares.items()}
     upper, digit, stop = _count("_t", "[A-Z]"), _count("_t", "[0-9]"), _count("_t", STOPS)
     beyond = (F.octet_length("_t") - F.length("_t")).cast("long")
     rest = F.length("_t") - F.col("_upper") - F.col("_digit") - F.col("_spaces") - F.col("_stop") - F.col("n_symbols") - F.col("_beyond")
@@ -116,7 +143,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     terms = F.zip_with("_counts", "_word_shares", lambda c, q: term(c / F.col("n_words"), q))
     among = (F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) + others) / 2
     limit = F.when(F.col("n_words") >= LONG, MAX_WORDS_LONG).otherwise(MAX_WORDS_SHORT)
-    far = (F.col("n_words") >= MIN_WORDS) & ((F.col("char_divergence") > MAX_CHARS) | (F.col("word_divergence") > limit))
+    far = (F.col("n_words") >= MIN_WORDS) & ((F.col("char_distance") > MAX_CHARS) | (F.col("word_distance") > limit))
     return (
         base_counts(docs, text)
         .withColumns({"_upper": upper, "_digit": digit, "_stop": stop, "_beyond": beyond})
@@ -126,8 +153,8 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
         .withColumns({"_total": total, "_shares": _per_language(shares, "array<double>", "_reference"), "_word_shares": _per_language(word_shares, "array<double>", "_reference"), "_list": _per_language(lists, "array<string>", "_reference")})
         .withColumn("_counts", counts)
         .withColumn("_listed", listed)
-        .withColumn("char_divergence", F.when(F.col("_total") > 0, chars).otherwise(0.0))
-        .withColumn("word_divergence", F.when(F.col("n_words") > 0, among).otherwise(0.0))
+        .withColumn("char_distance", F.when(F.col("_total") > 0, F.sqrt(F.greatest(chars, F.lit(0.0)))).otherwise(0.0))
+        .withColumn("word_distance", F.when(F.col("n_words") > 0, F.sqrt(F.greatest(among, F.lit(0.0)))).otherwise(0.0))
         .withColumn("kept", ~F.col("base_failed") & ~far)
         .drop("_t", "_w", *[c for c in classes if c[0] == "_"], "_common", "_reference", "_total", "_shares", "_word_shares", "_list", "_counts", "_listed")
     )

@@ -34,7 +34,7 @@ def op4_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sylva.llm.quality import judge
 
     return judge(_table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_divergence", "word_divergence"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"
     )
 
 

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sylva.llm._common import stage_table
+from sylva.llm._common import stage_path, stage_table
 
 N_SLOTS = 16384
 #: Bytes that a record takes besides its text.
@@ -87,32 +87,64 @@ def rebalance(shard_of: Sequence[int], loads: Sequence[int], n_shards: int) -> l
     return new
 
 
-def map_table(spark: SparkSession, versions: Sequence[Sequence[int]]) -> DataFrame:
-    """version, virtual_slot, shard: the slot map with its history, written to the shared folder."""
-    rows = [(v, slot, shard) for v, shards in enumerate(versions) for slot, shard in enumerate(shards)]
-    return stage_table(spark.createDataFrame(rows, "version int, virtual_slot int, shard int"), "slot-map")
+MAP = "version int, virtual_slot int, shard int"
 
 
-def shard(docs: DataFrame, n_shards: int, n_slots: int = N_SLOTS) -> DataFrame:
+def stored_map(spark: SparkSession, path: str) -> tuple[int, list[int]] | None:
+    """The newest version of the slot map in a folder and its number, or None where there is none yet."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    table = spark.read.schema(MAP).parquet(path)
+    version = table.agg(F.max("version")).first()[0]
+    if version is None:
+        return None
+    rows = table.where(F.col("version") == version).orderBy("virtual_slot").collect()  # a row for each slot
+    return version, [r.shard for r in rows]
+
+
+def store_map(spark: SparkSession, path: str, version: int, shard_of: Sequence[int]) -> None:
+    """Append a version of the slot map; earlier ones stay as they are."""
+    rows = [(version, slot, shard) for slot, shard in enumerate(shard_of)]
+    spark.createDataFrame(rows, MAP).coalesce(1).write.mode("append").parquet(path)
+
+
+def edited_map(spark: SparkSession, path: str, loads: Sequence[int], n_shards: int) -> tuple[int, list[int]]:
+    """The newest stored map rebalanced for loads, stored as the next version if that moves a slot; its number and shards."""
+    stored = stored_map(spark, path)
+    if stored is None:
+        store_map(spark, path, 0, initial_map(len(loads), n_shards))
+        stored = 0, initial_map(len(loads), n_shards)
+    version, old = stored
+    if len(old) != len(loads):
+        raise ValueError(f"the stored map has {len(old)} slots, not {len(loads)}")
+    new = rebalance(old, loads, n_shards)
+    if new != old:
+        version += 1
+        store_map(spark, path, version, new)
+    return version, new
+
+
+def shard(docs: DataFrame, n_shards: int, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
     """One row for each record: doc_id, size, text_crc32, shard, slot (its place in the shard), virtual_slot, map_version.
 
-    Shards end up with nearly equal bytes. Places are gapless from 0 in each shard: the driver knows how many rows
-    precede a virtual slot, and rows are numbered within their virtual slot, so no task sees a whole shard.
+    Shards end up with nearly equal bytes. map_path: the folder of the versioned slot map, which the call edits and adds
+    to; by default one of its own in the shared folder, which begins with slots dealt round. Places are gapless from 0 in
+    each shard: the driver knows how many rows precede a virtual slot, and rows are numbered within their virtual slot,
+    so no task sees a whole shard. Equal texts of different records lie in slots of their own, equal rows in one slot.
     """
     spark = docs.sparkSession
     records = stage_table(virtual_slots(docs, n_slots), "records")
     loads, rows = [0] * n_slots, [0] * n_slots
     for r in slot_loads(records).collect():  # n_slots rows at most
         loads[r.virtual_slot], rows[r.virtual_slot] = r.bytes, r.rows
-    versions = [initial_map(n_slots, n_shards)]
-    versions.append(rebalance(versions[0], loads, n_shards))
-    latest = map_table(spark, versions).where(F.col("version") == len(versions) - 1)
+    version, latest = edited_map(spark, map_path or stage_path(spark, "slot-map"), loads, n_shards)
     before, filled = [], [0] * n_shards
-    for slot, s in enumerate(versions[-1]):
-        before.append((slot, filled[s]))
+    for slot, s in enumerate(latest):
+        before.append((slot, s, version, filled[s]))
         filled[s] += rows[slot]
-    starts = spark.createDataFrame(before, "virtual_slot int, start long")
-    placed = latest.join(starts, "virtual_slot")
+    placed = spark.createDataFrame(before, "virtual_slot int, shard int, version int, start long")
     order = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
     return (
         records.withColumn("_n", F.row_number().over(order))

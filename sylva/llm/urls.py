@@ -27,16 +27,36 @@ MAX_LABELLED = 5000
 #: (verdict, host, path); a rule fits its host and all subdomains if the path begins with the rule's.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-#: Words of the labelled table; each is set in every template.
-BAD_WORDS = "casino poker bets betting jackpot slots pills pharma viagra cialis adult xxx porn escort nude spam farm cheap replica payday loans crypto-doubler free-bets cheap-pills click-bait win-prize lottery hack-tool warez torrent cracked keygen adult-videos adult-chat live-adult sex-cams ads ads-network ad-tracker click-track".split()
-GOOD_WORDS = "news library museum science physics garden school university research history weather maps recipes travel museum-guide city-council health journal review archive wiki docs manual forum music art film sport theatre nature energy water forest mountain river north south eastern other thing nation station letter reader render tender winter summer within ration chapter theory thread weather-map heather father mother brother".split()
+#: Words of the labelled table by topic, written down from general knowledge of what URL lists block; each is set in every template.
+BAD_WORDS = (
+    "casino poker roulette blackjack jackpot betting bookmaker gambling slots bingo lottery sportsbet wager "
+    "viagra cialis pills steroids painkillers pharma weightloss diet-pill "
+    "porn xxx sex nude naked escort adult erotic webcam hentai fetish hookup camgirls "
+    "torrent warez cracked keygen serialkey nulled pirated leaks leaked "
+    "phishing malware spyware ransomware trojan botnet hacked exploit-kit stolen-cards "
+    "spam clickbait adserver adtracker popunder banner-ads linkfarm doorway bulkmail "
+    "payday quickloan fastcash getrich pyramid forex-signals replica counterfeit fakeid"
+).split()
+GOOD_WORDS = (
+    "news library museum science physics chemistry biology garden school university college research history weather maps "
+    "recipes cooking travel hotel airport railway city council parliament government court law health hospital clinic medicine "
+    "journal review archive wiki encyclopedia dictionary docs manual tutorial forum blog music concert orchestra art gallery "
+    "film cinema theatre novel poetry author book bookshop sport football cycling running climbing nature forest mountain river "
+    "ocean island energy solar water climate farm agriculture kitchen furniture house architecture building bridge engine "
+    "software developer database network computer mathematics statistics geography language translation grammar philosophy "
+    "religion church family children education teacher student exam career jobs business finance bank insurance market "
+    "shop clothing shoes jewelry garden-centre photo camera video radio television magazine newspaper letter postcard "
+    "animal bird horse dog cat fish insect flower tree bread coffee tea wine restaurant bakery market-hall festival "
+    "north south east west summer winter spring autumn morning evening north-sea community society foundation charity volunteer "
+    "transport bus bicycle car repair tools craft knitting pottery painting design fashion pattern colour paper stone glass"
+).split()
 #: Neutral syllables; their pairs are allowed hosts, so that a made-up name is not suspect in itself.
-SYLLABLES = "th er in an on re at en st nd or ti ha".split()
-TEMPLATES = ("https://{w}.example.com/en/12", "http://www.{w}.example.org/fr/345.html", "https://blog.{w}.example.net/de/6789/", "http://m.{w}.example.com/es/90", "https://www.{w}.com/{w}/item")
+SYLLABLES = "ba ko lin mar ve sto dan fri gel hum pra wen".split()
+TEMPLATES = ("https://www.{w}.com/", "http://{w}.org/about/team.html", "https://{w}online.info/page/12", "https://my-{w}.co/list?page=3", "https://portal.site.eu/{w}/item/2024")
 
 
 def labelled_urls(spark: SparkSession, bad: Sequence[str] = tuple(BAD_WORDS), good: Sequence[str] = tuple(GOOD_WORDS), templates: Sequence[str] = TEMPLATES) -> DataFrame:
-    """url, label (1: block): the words in the templates."""
+    """url, label (1: block): the words in the templates. Any table of these columns will do in its place."""
     good = (*good, *(a + b for a in SYLLABLES for b in SYLLABLES if a < b))
     rows = [(t.format(w=w), y) for y, ws in ((1, bad), (0, good)) for w in dict.fromkeys(ws) for t in templates]
     return spark.createDataFrame(rows, "url string, label int")
