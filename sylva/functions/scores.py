@@ -94,7 +94,9 @@ def token_f1(predicted: Column, gold: Column) -> Column:
     times = lambda words, w: F.size(F.filter(words, lambda x: x == w))
 
     def f1(b: Column) -> Column:
-        common = F.aggregate(F.array_distinct(b["g"]), F.lit(0), lambda a, w: a + F.least(times(b["g"], w), times(b["p"], w)))
+        # Only words of both can be common; what is left of the longer side is searched for each of them.
+        shared = let(F.array_intersect(b["g"], b["p"]), lambda c: F.struct(c.alias("c"), F.filter(b["p"], lambda x: F.array_contains(c, x)).alias("p")))
+        common = let(shared, lambda m: F.aggregate(m["c"], F.lit(0), lambda a, w: a + F.least(times(b["g"], w), times(m["p"], w))))
         return let(common, lambda c: F.when(c == 0, 0.0).otherwise(2.0 * c / (F.size(b["p"]) + F.size(b["g"]))))
 
     return let(F.struct(bag(predicted).alias("p"), bag(gold).alias("g")), f1)

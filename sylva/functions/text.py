@@ -50,7 +50,8 @@ def fix_dashes(text: Column) -> Column:
 
 
 def join_hyphenated(parts: Column) -> Column:
-    """Parts of a paragraph joined by spaces, or, behind a hyphen, without it and a space."""
+    """Parts of a paragraph joined by spaces, or, behind a hyphen, without it and a space. Empty parts and lone hyphens are passed over."""
+    parts = F.filter(parts, lambda x: (F.coalesce(x, F.lit("")) != "") & (x != "-"))
     return F.aggregate(parts, F.lit(""), lambda a, x: F.when(a == "", x).when(a.endswith("-"), F.concat(F.regexp_replace(a, "-$", ""), x)).otherwise(F.concat(a, F.lit(" "), x)))
 
 

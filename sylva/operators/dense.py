@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_QUERIES = 20_000
+from sylva.stages import stage_table
+
+#: Queries of one pass, and cells of the matrix of similarities that a worker holds at a time.
+BLOCK = 8192
+CELLS = 4_000_000
 
 
 def _unit(column) -> np.ndarray:
@@ -17,16 +22,20 @@ def _unit(column) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
 
 
-def batch_search(vectors: DataFrame, queries: DataFrame, k: int, vector_id: str = "vec_id", embedding: str = "embedding", with_self: bool = True) -> DataFrame:
+def batch_search(vectors: DataFrame, queries: DataFrame, k: int, vector_id: str = "vec_id", embedding: str = "embedding", with_self: bool = True, block: int = BLOCK) -> DataFrame:
     """(query_id, id, similarity, rank) from vectors and queries (query_id, v): the k nearest of each query, ties by id.
 
-    The queries are a stated set (MAX_QUERIES at most, checked). They travel to the workers as one matrix; a worker
-    keeps k candidates for each query, so what is shuffled is k x queries x tasks rows whatever the number of vectors.
+    The queries go to the workers in blocks of `block`, one pass over the vectors for each; a worker keeps k candidates for
+    each query of a block, so what is shuffled is k x queries x tasks rows whatever the number of vectors.
     """
-    stated = queries.select("query_id", "v").limit(MAX_QUERIES + 1).toPandas()
-    if len(stated) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: search in several calls")
     session = vectors.sparkSession
+    n = queries.count()
+    if n > block:
+        parts = -(-n // block)
+        dealt = stage_table(queries.select("query_id", "v").withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts))), "queries")
+        found = [batch_search(vectors, dealt.where(F.col("_part") == i), k, vector_id, embedding, with_self, 4 * block) for i in range(parts)]
+        return reduce(DataFrame.unionByName, found)
+    stated = queries.select("query_id", "v").toPandas()  # at most `block` rows, or four times as many where hashes fall unevenly
     shape = "query_id long, id long, similarity double"
     if stated.empty:
         return session.createDataFrame([], f"{shape}, rank int")
@@ -34,16 +43,19 @@ def batch_search(vectors: DataFrame, queries: DataFrame, k: int, vector_id: str
 
     def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = None
-        for frame in frames:
-            sims = np.round(matrix.value @ _unit(frame["v"]).T, 6)
-            own = frame["id"].to_numpy()
-            if not with_self:
-                sims[ids[:, None] == own[None, :]] = -np.inf
-            many = np.broadcast_to(own, sims.shape)
-            if best is not None:
-                sims, many = np.hstack([best[0], sims]), np.hstack([best[1], many])
-            order = np.lexsort((many, -sims), axis=1)[:, :k]
-            best = np.take_along_axis(sims, order, 1), np.take_along_axis(many, order, 1)
+        step = max(1, CELLS // len(ids))
+        for whole in frames:
+            for at in range(0, len(whole), step):
+                frame = whole.iloc[at : at + step]
+                sims = np.round(matrix.value @ _unit(frame["v"]).T, 6)
+                own = frame["id"].to_numpy()
+                if not with_self:
+                    sims[ids[:, None] == own[None, :]] = -np.inf
+                many = np.broadcast_to(own, sims.shape)
+                if best is not None:
+                    sims, many = np.hstack([best[0], sims]), np.hstack([best[1], many])
+                order = np.lexsort((many, -sims), axis=1)[:, :k]
+                best = np.take_along_axis(sims, order, 1), np.take_along_axis(many, order, 1)
         if best is not None:
             sims, many = best
             out = pd.DataFrame({"query_id": np.repeat(ids, sims.shape[1]), "id": many.ravel(), "similarity": sims.ravel()})
@@ -54,6 +66,35 @@ def batch_search(vectors: DataFrame, queries: DataFrame, k: int, vector_id: str
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def pair_similarity(vectors: DataFrame, pairs: DataFrame, vector_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """pairs (src, dst) with their similarity (cosine, six places), by two equi-joins."""
+    from sylva.functions.vectors import cosine
+
+    side = lambda name, v: vectors.select(F.col(vector_id).alias(name), F.col(embedding).alias(v))
+    return pairs.join(side("src", "_a"), "src").join(side("dst", "_b"), "dst").select("src", "dst", F.round(cosine(F.col("_a"), F.col("_b")), 6).alias("similarity"))
+
+
+def pairs_above(vectors: DataFrame, cut: float, vector_id: str = "vec_id", embedding: str = "embedding", tile: int = 2048) -> DataFrame:
+    """(src, dst, similarity), src < dst: all pairs of vectors more similar than cut.
+
+    Every pair is looked at: the vectors are dealt to blocks, and each pair of blocks is a task's tile of `tile` by `tile`.
+    """
+    held = vectors.where(F.col(embedding).isNotNull()).select(F.col(vector_id).alias("id"), F.col(embedding).alias("v"))
+    blocks = max(1, -(-held.count() // tile))
+    dealt = held.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    tiles = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+
+    def near(group: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+        a, b = group[group["block"] == i], group[group["block"] == j]
+        sims = np.round(_unit(a["v"]) @ _unit(b["v"]).T, 6)
+        ids, others = a["id"].to_numpy(), b["id"].to_numpy()
+        x, y = np.nonzero((sims > cut) & ((ids[:, None] < others[None, :]) if i == j else (ids[:, None] != others[None, :])))
+        return pd.DataFrame({"src": np.minimum(ids[x], others[y]), "dst": np.maximum(ids[x], others[y]), "similarity": sims[x, y]})
+
+    return tiles.groupBy("i", "j").applyInPandas(near, "src long, dst long, similarity double")
+
+
 def add(collection: DataFrame, rows: DataFrame) -> DataFrame:
     return collection.unionByName(rows)
 

@@ -174,12 +174,14 @@ def degree_cap(edges: DataFrame, nodes: DataFrame) -> int:
     return max(1, -(-2 * edges.count() // n)) if n else 1
 
 
-def semantic_edges(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, similarity: str = "similarity", percentile: float = 0.85, capped: bool = True) -> DataFrame:
+def semantic_edges(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, similarity: str = "similarity", percentile: float = 0.85, capped: bool = True, known: DataFrame | None = None) -> DataFrame:
     """Pairs (src < dst, similarity) above the cut that are not edges; capped, each node brings its nearest few.
 
+    known: the edges with their similarities, where pairs holds only those above the cut.
+
     With the cap a pair stays if it is among the best of either end (ties by id), which does not depend on an order of nodes.
     """
-    new = pairs.where(F.col(similarity) > similarity_cut(pairs, edges, similarity, percentile)).join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+    new = pairs.where(F.col(similarity) > similarity_cut(pairs if known is None else known, edges, similarity, percentile)).join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
     if not capped:
         return new
     cap = degree_cap(edges, nodes)

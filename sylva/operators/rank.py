@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sylva.stages import stage_table
+
 
 def merge_scores(lists: Sequence[DataFrame], key: str) -> DataFrame:
     """One row for each key in any of the lists (key, score); a list without it counts 0.0. Columns: score_0, score_1, ..."""
@@ -27,8 +29,9 @@ def skyline_2d(rows: DataFrame, x: str, y: str, buckets: int = 256) -> DataFrame
     low, high = best.agg(F.min(x), F.max(x)).first()
     if low is None:
         return rows
-    span = float(high) - float(low)
-    bucket = F.least(F.lit(buckets - 1), F.floor((F.col(x) - float(low)) / (span or 1.0) * buckets)).cast("int")
+    # Ranges of x that hold about as many rows each, so that an outlier does not put all rows in one.
+    cuts = sorted(set(best.agg(F.percentile_approx(x, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(1000))).first()[0]))
+    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(x)))
     part = best.withColumn("_b", bucket)
     falling = lambda p: Window.partitionBy(*p).orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1)
     part = part.where("_y is not null").withColumn("_m", F.max("_y").over(falling(["_b"]))).where("_m is null or _y > _m")
@@ -42,7 +45,7 @@ def skyline(rows: DataFrame, dims: Sequence[str]) -> DataFrame:
     """The skyline in any number of dimensions, all to be maximised.
 
     Every task first reduces its rows to their own skyline (rows sorted by falling sum can only be dominated by earlier
-    ones); the skylines of the tasks, which are small, are then compared with one another.
+    ones); skylines of eight tasks at a time are then merged, up a tree.
     """
     if len(dims) == 2:
         return skyline_2d(rows, *dims)
@@ -65,7 +68,11 @@ def skyline(rows: DataFrame, dims: Sequence[str]) -> DataFrame:
             yield front
 
     distinct = rows.select(*dims).distinct().na.drop()
-    fronts = distinct.mapInPandas(local, distinct.schema).coalesce(1).mapInPandas(local, distinct.schema)
+    fronts = distinct.mapInPandas(local, distinct.schema)
+    parts = max(1, fronts.rdd.getNumPartitions())
+    while parts > 1:  # up a tree: each round merges the fronts of eight tasks
+        parts = -(-parts // 8)
+        fronts = stage_table(fronts, "fronts").coalesce(parts).mapInPandas(local, distinct.schema)
     named = fronts.select(*[F.col(d).alias(f"_{d}") for d in dims])
     return rows.join(named, reduce(lambda a, b: a & b, [F.col(d) == F.col(f"_{d}") for d in dims]), "left_semi")
 
@@ -77,16 +84,16 @@ def top(rows: DataFrame, score: str, key: str, k: int) -> DataFrame:
 def skyline_filter(merged: DataFrame, key: str, topk: int, text: str = "score_0", graph: str = "score_1", variant: str = "standard", best_of_each: int = 5) -> DataFrame:
     """Keys chosen from merged scores: the skyline, or what a variant asks for.
 
-    wo_graph and wo_text take the topk of the other score; standard returns all where fewer than topk have a graph
-    score, and adds the best of each score where the skyline is smaller than topk.
+    wo_graph and wo_text take the topk of the other score. standard returns all where the graph's list, in which every
+    node stands, be it with 0, is shorter than topk; else the skyline, and where that is smaller than topk the best of each
+    score besides.
     """
     if variant == "wo_graph":
         return top(merged, text, key, topk).select(key)
     if variant == "wo_text":
         return top(merged, graph, key, topk).select(key)
-    scored = merged.where(F.col(graph) > 0)
-    if scored.limit(topk).count() < topk:
-        return scored.select(key)
+    if merged.limit(topk).count() < topk:
+        return merged.select(key)
     front = skyline_2d(merged, text, graph).select(key)
     if front.limit(topk).count() >= topk:
         return front
@@ -112,6 +119,7 @@ def contiguous_split(rows: DataFrame, order: Sequence[str], parts: int) -> DataF
     n = rows.count()
     size = max(1, -(-n // parts))
     ranged = rows.repartitionByRange(max(1, min(200, n // 10_000 + 1)), *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    ranged = stage_table(ranged, "ranges")  # numbered once: what reads them twice must read the same numbers
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("_p").alias("_q"), "_before", "_first")
     placed = ranged.join(F.broadcast(before), F.col("_p") == F.col("_q"))  # a row for each of 200 ranges at most

@@ -1,7 +1,9 @@
 """Document trees as tables of nodes (node_id, parent_id), many trees side by side.
 
-Depth is bounded and small, so ancestry is an unrolled chain of equi-joins on parent_id: each level is one shuffle join
-of what the level before left, and the pairs that come out number nodes times depth.
+Ancestry is found level by level: each level is one equi-join of what the level before left with the parents, written as a
+stage table, until a level is empty. The pairs that come out number nodes times depth, whatever the depth.
+
+Cases: nodes whose parent is not in the table end there; a cycle raises an error; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,27 +13,32 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 8
-
-
-def closure(nodes: DataFrame, max_depth: int = MAX_DEPTH, node: str = "node_id", parent: str = "parent_id") -> DataFrame:
-    """(node_id, ancestor_id, dist) of all pairs, a node being its own ancestor at 0. Cycles end at max_depth."""
-    links = nodes.select(F.col(node).alias("_n"), F.col(parent).alias("_p"))
-    level = nodes.select(F.col(node).alias("node_id"), F.col(node).alias("ancestor_id"))
-    levels = [level.withColumn("dist", F.lit(0))]
-    for dist in range(1, max_depth + 1):
-        level = level.join(links, F.col("ancestor_id") == F.col("_n")).where("_p is not null").select("node_id", F.col("_p").alias("ancestor_id"))
-        levels.append(level.withColumn("dist", F.lit(dist)))
+from sylva.stages import short_shuffles, stage_table
+
+def closure(nodes: DataFrame, max_depth: int | None = None, node: str = "node_id", parent: str = "parent_id") -> DataFrame:
+    """(node_id, ancestor_id, dist) of all pairs, a node being its own ancestor at 0; max_depth ends the search early."""
+    links = stage_table(nodes.select(F.col(node).alias("_n"), F.col(parent).alias("_p")), "tree-links")
+    level = links.select(F.col("_n").alias("node_id"), F.col("_n").alias("ancestor_id"), F.lit(0).alias("dist"))
+    levels = [level]
+    with short_shuffles(nodes.sparkSession):
+        while max_depth is None or len(levels) <= max_depth:
+            level = level.join(links.where("_p is not null"), F.col("ancestor_id") == F.col("_n")).select("node_id", F.col("_p").alias("ancestor_id"), F.lit(len(levels)).alias("dist"))
+            level = stage_table(level, "tree-level")
+            if level.isEmpty():
+                break
+            if not level.where("node_id = ancestor_id").isEmpty():
+                raise ValueError("the parents of some nodes form a cycle")
+            levels.append(level)
     return reduce(DataFrame.unionByName, levels)
 
 
-def with_depth(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def with_depth(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """nodes with depth, a root's being 0."""
     depth = closure(nodes, max_depth).groupBy("node_id").agg(F.max("dist").alias("depth"))
     return nodes.join(depth, "node_id")
 
 
-def paths(nodes: DataFrame, max_depth: int = MAX_DEPTH, with_root: bool = False) -> DataFrame:
+def paths(nodes: DataFrame, max_depth: int | None = None, with_root: bool = False) -> DataFrame:
     """(node_id, path): ids from below the root to the node itself."""
     up = closure(nodes, max_depth)
     if not with_root:
@@ -47,29 +54,42 @@ def siblings(nodes: DataFrame) -> DataFrame:
     return nodes.join(other, (F.col("parent_id") == F.col("_p")) & (F.col("node_id") != F.col("sibling_id"))).select("node_id", "sibling_id")
 
 
-def subtree(nodes: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Nodes under (or in) roots (node_id), each once, with their place in pre-order within their whole tree."""
+def subtree(nodes: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Nodes under (or in) roots (node_id), each once; preorder() gives their places."""
     inside = closure(nodes, max_depth).join(roots.select(F.col("node_id").alias("ancestor_id")), "ancestor_id", "left_semi").select("node_id").distinct()
     return nodes.join(inside, "node_id", "left_semi")
 
 
-def preorder(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """nodes with their path, by which pre-order sorts: a path comes before the paths that extend it."""
-    return nodes.join(paths(nodes, max_depth, with_root=True), "node_id")
+def preorder(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(node_id, root, rank): each node's place, from 1, in pre-order within its tree; siblings in the order of their ids.
 
-
-def ancestor_at(nodes: DataFrame, depth: int, max_depth: int = MAX_DEPTH) -> DataFrame:
+    A node stands behind its parent, and behind the subtrees of the siblings before it: places are sums over ancestors, so
+    no task sees a whole tree, only the children of one node.
+    """
+    up = stage_table(closure(nodes, max_depth), "tree-closure")
+    size = up.groupBy(F.col("ancestor_id").alias("node_id")).agg(F.count("*").alias("size"))
+    known = nodes.select("node_id", F.col("parent_id").alias("_p")).join(size, "node_id")
+    top = known.join(nodes.select(F.col("node_id").alias("_p")), "_p", "left_anti").select("node_id")
+    order = Window.partitionBy("_p").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    behind = known.join(top, "node_id", "left_anti").select("node_id", (1 + F.coalesce(F.sum("size").over(order), F.lit(0))).alias("by"))
+    steps = behind.unionByName(top.select("node_id", F.lit(1).cast("long").alias("by")))
+    ranks = up.join(steps.withColumnRenamed("node_id", "ancestor_id"), "ancestor_id").groupBy("node_id").agg(F.sum("by").alias("rank"))
+    roots = up.join(top.select(F.col("node_id").alias("ancestor_id")), "ancestor_id", "left_semi").select("node_id", F.col("ancestor_id").alias("root"))
+    return ranks.join(roots, "node_id").select("node_id", "root", "rank")
+
+
+def ancestor_at(nodes: DataFrame, depth: int, max_depth: int | None = None) -> DataFrame:
     """(node_id, ancestor_id): the ancestor at a depth; nodes above it have none and are left out."""
     deep = with_depth(nodes, max_depth).where(F.col("depth") == depth).select(F.col("node_id").alias("ancestor_id"))
     return closure(nodes, max_depth).join(deep, "ancestor_id", "left_semi").select("node_id", "ancestor_id")
 
 
-def roll_up(nodes: DataFrame, value: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+def roll_up(nodes: DataFrame, value: str, max_depth: int | None = None) -> DataFrame:
     """(node_id, total): the sum of a value over each node's subtree, one partial aggregation over ancestry."""
     return closure(nodes, max_depth).join(nodes.select("node_id", value), "node_id").groupBy(F.col("ancestor_id").alias("node_id")).agg(F.sum(value).alias("total"))
 
 
-def outline(nodes: DataFrame, title: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+def outline(nodes: DataFrame, title: str, max_depth: int | None = None) -> DataFrame:
     """(node_id, line): depth, title and id of each node, set apart by tabs."""
     return with_depth(nodes, max_depth).select("node_id", F.concat_ws("\t", F.col("depth").cast("string"), title, F.col("node_id").cast("string")).alias("line"))
 
@@ -82,18 +102,23 @@ def child_summaries(nodes: DataFrame, summary: str, order: str) -> DataFrame:
     return nodes.join(kids, F.col("node_id") == F.col("_p"), "left").select("node_id", F.concat_ws("\n", summary, "_kids").alias("digest"))
 
 
-def descend(nodes: DataFrame, start: DataFrame, score: str, tie: str = "node_id", max_depth: int = MAX_DEPTH) -> DataFrame:
+def descend(nodes: DataFrame, start: DataFrame, score: str, tie: str = "node_id", max_depth: int | None = None) -> DataFrame:
     """(start_id, step, node_id): from each start down to the best child, level by level, until a leaf or max_depth.
 
     score stands for what a model would choose; an only child is followed without asking.
     """
     kids = nodes.select(F.col("parent_id").alias("_p"), F.col("node_id").alias("_n"), F.col(score).alias("_s"), F.col(tie).alias("_t"))
     best = kids.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(F.desc("_s"), "_t"))).where("_r = 1").select("_p", "_n")
+    best = stage_table(best, "tree-best")
     at = start.select(F.col("node_id").alias("start_id"), "node_id")
     steps = [at.withColumn("step", F.lit(0))]
-    for step in range(1, max_depth + 1):
-        at = at.join(best, F.col("node_id") == F.col("_p")).select("start_id", F.col("_n").alias("node_id"))
-        steps.append(at.withColumn("step", F.lit(step)))
+    while max_depth is None or len(steps) <= max_depth:
+        at = stage_table(at.join(best, F.col("node_id") == F.col("_p")).select("start_id", F.col("_n").alias("node_id")), "tree-step")
+        if at.isEmpty():
+            break
+        if not at.where("start_id = node_id").isEmpty():
+            raise ValueError("the children of some nodes form a cycle")
+        steps.append(at.withColumn("step", F.lit(len(steps))))
     return reduce(DataFrame.unionByName, steps).select("start_id", "step", "node_id")
 
 
@@ -149,4 +174,40 @@ def typed_nodes(blocks: DataFrame) -> DataFrame:
     kind = F.when(F.col("text_level").isNotNull(), "title").when(known, F.col("type")).otherwise("text")
     joined = lambda *cs: F.concat_ws(" ", *cs)
     content = F.when(kind == "image", joined("image_caption", "image_footnote")).when(kind == "table", joined("table_caption", "table_footnote", "table_body")).otherwise(F.col("text"))
-    return blocks.withColumn("node_type", kind).withColumn("content", content).withColumn("title_level", F.when(kind == "title", F.col("text_level").try_cast("int") if hasattr(F.col("text_level"), "try_cast") else F.col("text_level")))
+    return blocks.withColumn("node_type", kind).withColumn("content", content).withColumn("title_level", F.when(kind == "title", F.col("text_level").try_cast("int")))
+
+
+def assemble(blocks: DataFrame, titles: DataFrame, doc: str = "doc_id", at: str = "pdf_id") -> DataFrame:
+    """(doc, index_id, pdf_id, parent_pdf_id, depth_hint, is_title): a document's tree from its blocks and its repaired outline.
+
+    titles (doc, pdf_id, level, parent): level 0 hangs on the root, 0; another title hangs on its parent, or stays detached
+    (no parent) if that is not a title of the document. Blocks hang on the last title before them; those before the first
+    title are dropped. index_id numbers a document's nodes in the order of visiting, from 1, which is that of pdf_id.
+    """
+    known = titles.select(F.col(doc).alias("_d"), F.col(at).alias("_parent")).distinct()
+    heads = titles.join(known, (titles[doc] == known["_d"]) & (titles["parent"] == known["_parent"]), "left")
+    heads = heads.select(doc, at, F.when(F.col("level") == 0, F.lit(0)).otherwise(F.col("_parent")).cast("long").alias("parent_pdf_id"), F.col("level").alias("depth_hint"), F.lit(True).alias("is_title"))
+    marked = blocks.select(doc, at).join(heads, [doc, at], "left").withColumn("is_title", F.coalesce("is_title", F.lit(False)))
+    placed = section_of(marked, doc, at, F.col("is_title")).where("section_id is not null")
+    parent = F.when(F.col("is_title"), F.col("parent_pdf_id")).otherwise(F.col("section_id").cast("long"))
+    order = Window.partitionBy(doc).orderBy(at)
+    return placed.select(doc, F.row_number().over(order).alias("index_id"), at, parent.alias("parent_pdf_id"), "depth_hint", "is_title")
+
+
+def summarise(nodes: DataFrame, provider, content: str = "content", order: str = "node_id", budget: int = 500, max_depth: int | None = None) -> DataFrame:
+    """(node_id, summary): bottom up, level by level; a leaf from its content, an inner node from its title (content) and its
+    children's summaries in their order, each cut to `budget` words, by a provider. Each level is a stage table."""
+    from sylva.functions import text as T
+    from sylva.plans.providers import complete
+
+    deep = stage_table(with_depth(nodes.select("node_id", "parent_id", F.col(content).alias("_c"), F.col(order).alias("_o")), max_depth), "tree-depth")
+    done = None
+    for depth in range(deep.agg(F.coalesce(F.max("depth"), F.lit(-1))).first()[0], -1, -1):
+        level = deep.where(F.col("depth") == depth).select("node_id", "parent_id", "_c", "_o")
+        if done is not None:
+            kids = done.where(F.col("_depth") == depth + 1).groupBy(F.col("parent_id").alias("_p")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "summary"))), lambda x: x["summary"]), "\n").alias("_kids"))
+            level = level.join(kids, F.col("node_id") == F.col("_p"), "left").withColumn("_c", F.concat_ws("\n", "_c", "_kids")).drop("_p", "_kids")
+        said = complete(level.withColumn("_prompt", T.first_words(F.coalesce("_c", F.lit("")), budget)), "_prompt", "summary", provider)
+        said = stage_table(said.select("node_id", "parent_id", "_o", "summary", F.lit(depth).alias("_depth")), "tree-summaries")
+        done = said if done is None else done.unionByName(said)
+    return done.select("node_id", "summary") if done is not None else nodes.select("node_id", F.lit(None).cast("string").alias("summary"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sylva.catalog import query, table
+from sylva.catalog import bounded, query, table
 from sylva.functions import scores as S
 
 ANLS = "CASE WHEN 1 - levenshtein(g, p) / greatest(length(g), length(p)) <= 0.5 THEN 0.0 ELSE 1 - levenshtein(g, p) / greatest(length(g), length(p)) END"
@@ -34,11 +34,11 @@ def normalized_answer(spark, sf_dir):
 
 
 @query("token_f1", f"""WITH d AS (SELECT doc_id, string_split({NORM.format(c='text')}, ' ') AS p FROM documents), b AS (SELECT item_id, string_split({NORM.format(c='text')}, ' ') AS g FROM benchmark),
-x AS (SELECT doc_id, len(p) AS np, len(g) AS ng, list_sum(list_transform(list_distinct(g), lambda w: least(len(list_filter(g, lambda y: y = w)), len(list_filter(p, lambda y: y = w))))) AS c FROM d JOIN b ON item_id = doc_id % 40)
+x AS (SELECT doc_id, len(p) AS np, len(g) AS ng, list_sum(list_transform(list_distinct(g), lambda w: least(len(list_filter(g, lambda y: y = w)), len(list_filter(p, lambda y: y = w))))) AS c FROM d JOIN b ON item_id = doc_id % (SELECT count(*) FROM benchmark))
 SELECT doc_id, round(CASE WHEN c = 0 THEN 0.0 ELSE 2.0 * c / (np + ng) END, 6) AS f1 FROM x""")
 def token_f1(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").where("item_id < 40").select(F.col("item_id").alias("k"), F.col("text").alias("gold"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("k")).join(F.broadcast(items), "k")  # 40 items
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("k"), F.col("text").alias("gold"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % items.count()).alias("k")).join(bounded(items), "k")
     return docs.select("doc_id", F.round(S.token_f1(F.col("text"), F.col("gold")), 6).alias("f1"))
 
 
@@ -84,10 +84,10 @@ def acc_and_f1(spark, sf_dir):
     return accuracy_and_f1(rows, F.col("quality") == 1, F.col("pred") == 1)
 
 
-@query("containment_accuracy", f"SELECT doc_id, contains({NORM.format(c='d.text')}, {NORM.format(c='b.text')})::INT AS acc FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40")
+@query("containment_accuracy", f"SELECT doc_id, contains({NORM.format(c='d.text')}, {NORM.format(c='b.text')})::INT AS acc FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)")
 def containment_accuracy(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").where("item_id < 40").select(F.col("item_id").alias("k"), F.array("text").alias("golds"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("k")).join(F.broadcast(items), "k")  # 40 items
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("k"), F.array("text").alias("golds"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % items.count()).alias("k")).join(bounded(items), "k")
     return docs.select("doc_id", S.contains_answer(F.col("text"), F.col("golds")).alias("acc"))
 
 

@@ -61,52 +61,64 @@ def pagerank_to_nodes(spark, sf_dir):
     return G.rank_into(ranks, suppliers, suppliers.select("node_id").distinct()).select("node_id", F.round("score", 8).alias("score"))
 
 
-def _vector_pairs(spark, sf_dir):
-    """Similar pairs of vectors of one label, among the 20 nearest of each in a stated query set of all vectors."""
-    from sylva.operators.dense import batch_search
+def _vector_graph(spark, sf_dir):
+    """The vectors, and a graph whose edges join each vector to the next three."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    ids = vectors.select("vec_id")
+    edges = ids.select(F.col("vec_id").alias("src"), F.explode(F.array(*[F.col("vec_id") + i for i in (1, 2, 3)])).alias("dst")).join(ids.select(F.col("vec_id").alias("dst")), "dst", "left_semi")
+    return vectors, edges.select("src", "dst")
 
-    vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
-    near = batch_search(vectors, asked, 20, with_self=False)
-    return near.select(F.least("query_id", "id").alias("src"), F.greatest("query_id", "id").alias("dst"), "similarity").distinct()
 
+def _edge_similarity(spark, sf_dir):
+    from sylva.operators.dense import pair_similarity
 
-VECTORS = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-n AS (SELECT q.vec_id AS a, v.vec_id AS b, round(list_cosine_similarity(q.e, v.e), 6) AS similarity FROM v AS q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id
-      QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.e, v.e), 6) DESC, v.vec_id) <= 20),
-p AS (SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst, similarity FROM n), g AS (SELECT src, dst FROM p WHERE (src + dst) % 3 = 0),
-c AS (SELECT quantile_cont(similarity, 0.5) AS cut FROM p JOIN g USING (src, dst))"""
+    vectors, edges = _vector_graph(spark, sf_dir)
+    return pair_similarity(vectors, edges)
 
 
-def _graph_of(pairs):
-    return pairs.where("(src + dst) % 3 = 0").select("src", "dst")
+def _above(spark, sf_dir):
+    """All pairs of vectors more similar than the cut among the edges, and those edges."""
+    from sylva.operators.dense import pairs_above
+
+    vectors, edges = _vector_graph(spark, sf_dir)
+    known = _edge_similarity(spark, sf_dir)
+    cut = known.agg(F.coalesce(F.percentile("similarity", F.lit(CUT)), F.lit(1.0))).first()[0]
+    return pairs_above(vectors, cut), edges, known
+
+
+CUT = 0.9
+VECTORS = f"""v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+p AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON a.vec_id < b.vec_id),
+g AS (SELECT src, dst FROM p WHERE dst - src <= 3),
+c AS (SELECT quantile_cont(similarity, {CUT}) AS cut FROM p JOIN g USING (src, dst)),
+m AS (SELECT p.* FROM p CROSS JOIN c WHERE similarity > cut AND dst - src > 3)"""
 
 
 @query("edge_percentile", f"WITH {VECTORS} SELECT round(cut, 6) AS cut FROM c")
 def edge_percentile(spark, sf_dir):
-    pairs = _vector_pairs(spark, sf_dir)
-    return spark.range(1).select(F.round(G.similarity_cut(pairs, _graph_of(pairs), "similarity", 0.5), 6).alias("cut"))
+    known = _edge_similarity(spark, sf_dir)
+    return spark.range(1).select(F.round(G.similarity_cut(known, known, "similarity", CUT), 6).alias("cut"))
 
 
-@query("semantic_edges", f"WITH {VECTORS} SELECT src, dst, similarity FROM p, c WHERE similarity > cut AND (src + dst) % 3 <> 0")
+@query("semantic_edges", f"WITH {VECTORS} SELECT src, dst, similarity FROM m")
 def semantic_edges(spark, sf_dir):
-    pairs = _vector_pairs(spark, sf_dir)
-    return G.semantic_edges(pairs, _graph_of(pairs), pairs.select(F.col("src").alias("node")).distinct(), percentile=0.5, capped=False)
+    pairs, edges, known = _above(spark, sf_dir)
+    return G.semantic_edges(pairs, edges, edges.select(F.col("src").alias("node")).distinct(), capped=False, known=known, percentile=CUT)
 
 
-@query("semantic_edges_capped", f"""WITH {VECTORS}, m AS (SELECT src, dst, similarity FROM p, c WHERE similarity > cut AND (src + dst) % 3 <> 0),
-k AS (SELECT greatest(1, CAST(ceil(2.0 * (SELECT count(*) FROM g) / (SELECT count(*) FROM (SELECT src FROM p UNION SELECT dst FROM p))) AS BIGINT)) AS cap),
+@query("semantic_edges_capped", f"""WITH {VECTORS},
+k AS (SELECT greatest(1, CAST(ceil(2.0 * (SELECT count(*) FROM g) / (SELECT count(*) FROM v)) AS BIGINT)) AS cap),
 x AS (SELECT src AS a, dst AS b, similarity FROM m UNION ALL SELECT dst, src, similarity FROM m)
 SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst, similarity FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS r FROM x), k WHERE r <= cap""")
 def semantic_edges_capped(spark, sf_dir):
-    pairs = _vector_pairs(spark, sf_dir)
-    nodes = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
-    return G.semantic_edges(pairs, _graph_of(pairs), nodes, percentile=0.5)
+    pairs, edges, known = _above(spark, sf_dir)
+    nodes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"))
+    return G.semantic_edges(pairs, edges, nodes, known=known, percentile=CUT)
 
 
-@query("personalization", f"WITH {VECTORS}, s AS (SELECT dst AS node, sum((similarity + 1) / 2) AS s FROM p GROUP BY dst) SELECT node, round(s / (SELECT sum(s) FROM s), 8) AS p FROM s")
+@query("personalization", f"WITH {VECTORS}, s AS (SELECT dst AS node, sum((similarity + 1) / 2) AS s FROM m GROUP BY dst) SELECT node, round(s / (SELECT sum(s) FROM s), 8) AS p FROM s")
 def personalization(spark, sf_dir):
-    return G.personalization(_vector_pairs(spark, sf_dir), "dst", "similarity").select("node", F.round("p", 8).alias("p"))
+    return G.personalization(semantic_edges(spark, sf_dir), "dst", "similarity").select("node", F.round("p", 8).alias("p"))
 
 
 # Entities: capitalised words of documents, typed by the language of the document.

@@ -68,11 +68,10 @@ def prefix_fill(spark, sf_dir):
     return held.select("conv_id", F.size(T.prefix_within(F.col("ts"), F.transform("ts", lambda t: t["n"]), 400)).cast("long").alias("n"))
 
 
-@query("dehyphen_join", """WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)
-SELECT doc_id, md5(array_to_string(list_transform(ls, lambda x, i: CASE WHEN i = len(ls) THEN x WHEN x LIKE '%-' THEN left(x, length(x) - 1) ELSE x || ' ' END), '')) AS h FROM p
-WHERE NOT list_contains(list_transform(ls, lambda x: x = '' OR x = '-'), true)""")
+@query("dehyphen_join", """WITH p AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '' AND x <> '-') AS ls FROM documents)
+SELECT doc_id, md5(array_to_string(list_transform(ls, lambda x, i: CASE WHEN i = len(ls) THEN x WHEN x LIKE '%-' THEN left(x, length(x) - 1) ELSE x || ' ' END), '')) AS h FROM p""")
 def dehyphen_join(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("ls")).where(~F.exists("ls", lambda x: (x == "") | (x == "-")))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("ls"))
     return lines.select("doc_id", F.md5(T.join_hyphenated(F.col("ls"))).alias("h"))
 
 

@@ -1,4 +1,4 @@
-"""Tree operators on region -> nation -> customer -> order, and outlines of orders with lines as blocks."""
+"""Tree operators on region -> nation -> customer -> order -> line, and outlines of orders with lines as blocks."""
 
 from __future__ import annotations
 
@@ -11,22 +11,24 @@ NODES = """nodes AS (
   SELECT 'r' || r_regionkey AS node_id, NULL AS parent_id, r_name AS title, 0.0 AS value FROM region
   UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name, 0.0 FROM nation
   UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name, c_acctbal FROM customer
-  UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, o_orderpriority, o_totalprice FROM orders),
+  UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, o_orderpriority, o_totalprice FROM orders
+  UNION ALL SELECT 'l' || l_orderkey || '-' || l_linenumber, 'o' || l_orderkey, l_shipmode, l_extendedprice FROM lineitem),
 closure AS (
   SELECT node_id, node_id AS ancestor_id, parent_id AS up, 0 AS dist FROM nodes
   UNION ALL SELECT c.node_id, n.node_id, n.parent_id, c.dist + 1 FROM closure c JOIN nodes n ON n.node_id = c.up)"""
 REC = f"WITH RECURSIVE {NODES}"
-DEPTH = 4
+DEPTH = None
 
 
 def nodes(spark, sf_dir):
-    """Four levels as one table of nodes."""
+    """Five levels as one table of nodes."""
     key = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
     parts = [
         table(spark, sf_dir, "region").select(key("r", "r_regionkey").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_name").alias("title"), F.lit(0.0).alias("value")),
         table(spark, sf_dir, "nation").select(key("n", "n_nationkey"), key("r", "n_regionkey"), "n_name", F.lit(0.0)),
         table(spark, sf_dir, "customer").select(key("c", "c_custkey"), key("n", "c_nationkey"), "c_name", "c_acctbal"),
         table(spark, sf_dir, "orders").select(key("o", "o_orderkey"), key("c", "o_custkey"), "o_orderpriority", "o_totalprice"),
+        table(spark, sf_dir, "lineitem").select(F.concat(F.lit("l"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")), key("o", "l_orderkey"), "l_shipmode", "l_extendedprice"),
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -56,12 +58,9 @@ def subtree_nodes(spark, sf_dir):
 
 
 @query("preorder_rank", f"""{REC}, p AS (SELECT node_id, string_agg(ancestor_id, '/' ORDER BY dist DESC) AS path FROM closure GROUP BY node_id)
-SELECT node_id, split_part(path, '/', 1) AS root, row_number() OVER (PARTITION BY split_part(path, '/', 1) ORDER BY string_split(path, '/')) AS rank FROM p WHERE node_id NOT LIKE 'o%'""")
+SELECT node_id, split_part(path, '/', 1) AS root, row_number() OVER (PARTITION BY split_part(path, '/', 1) ORDER BY string_split(path, '/')) AS rank FROM p""")
 def preorder_rank(spark, sf_dir):
-    from pyspark.sql import Window
-
-    ordered = tree.preorder(nodes(spark, sf_dir), DEPTH).where("node_id not like 'o%'").select("node_id", "path", F.get("path", F.lit(0)).alias("root"))
-    return ordered.select("node_id", "root", F.row_number().over(Window.partitionBy("root").orderBy("path")).alias("rank"))
+    return tree.preorder(nodes(spark, sf_dir), DEPTH)
 
 
 @query("ancestor_at_depth", f"{REC}, d AS (SELECT node_id, max(dist) AS depth FROM closure GROUP BY node_id) SELECT c.node_id, c.ancestor_id FROM closure c JOIN d ON d.node_id = c.ancestor_id WHERE d.depth = 1")
@@ -79,9 +78,9 @@ def nodes_at_depth(spark, sf_dir):
     return tree.with_depth(nodes(spark, sf_dir), DEPTH).where("depth = 2").select("node_id", "depth")
 
 
-@query("outline_list", f"{REC} SELECT node_id, max(dist) || chr(9) || any_value(title) || chr(9) || node_id AS line FROM closure JOIN nodes USING (node_id) WHERE node_id NOT LIKE 'o%' GROUP BY node_id")
+@query("outline_list", f"{REC} SELECT node_id, max(dist) || chr(9) || any_value(title) || chr(9) || node_id AS line FROM closure JOIN nodes USING (node_id) GROUP BY node_id")
 def outline_list(spark, sf_dir):
-    return tree.outline(nodes(spark, sf_dir), "title", DEPTH).where("node_id not like 'o%'")
+    return tree.outline(nodes(spark, sf_dir), "title", DEPTH)
 
 
 @query("level_rollup", f"{REC} SELECT ancestor_id AS node_id, round(sum(value), 2) AS total FROM closure JOIN nodes USING (node_id) GROUP BY ancestor_id")
@@ -90,9 +89,9 @@ def level_rollup(spark, sf_dir):
 
 
 @query("child_summaries", f"""{REC}, k AS (SELECT parent_id, string_agg(title, chr(10) ORDER BY node_id) AS kids FROM nodes WHERE title IS NOT NULL GROUP BY parent_id)
-SELECT n.node_id, concat_ws(chr(10), n.title, k.kids) AS digest FROM nodes n LEFT JOIN k ON k.parent_id = n.node_id WHERE n.node_id NOT LIKE 'o%'""")
+SELECT n.node_id, concat_ws(chr(10), n.title, k.kids) AS digest FROM nodes n LEFT JOIN k ON k.parent_id = n.node_id""")
 def child_summaries(spark, sf_dir):
-    return tree.child_summaries(nodes(spark, sf_dir), "title", "node_id").where("node_id not like 'o%'")
+    return tree.child_summaries(nodes(spark, sf_dir), "title", "node_id")
 
 
 @query("guided_descent", f"""{REC}, best AS (SELECT parent_id, node_id FROM nodes WHERE parent_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY parent_id ORDER BY value DESC, node_id) = 1),
