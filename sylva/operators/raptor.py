@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sylva.stages import stage_table
 from sylva.plans.providers import Embedder, FirstSentence, HashedWords, TextProvider, complete, embed
 
 FEW, MEMBER, MAX_LEVELS, TINY = 6, 0.1, 20, 1e-6
@@ -43,7 +44,8 @@ def cluster(rows: DataFrame, key: str, vector: str, dims: int = 8, seed: int = 1
         return rows.select(key, F.lit(0).alias("cluster"))
     vectors = rows.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
     dims = min(dims, n - 1)
-    reduced = PCA(k=dims, inputCol="_v", outputCol="_p").fit(vectors).transform(vectors).select(key, "_p").persist()
+    reduced = PCA(k=dims, inputCol="_v", outputCol="_p").fit(vectors).transform(vectors).select(key, "_p")
+    reduced = stage_table(reduced, "components")
     best, least = None, math.inf
     for k in counts:
         model = GaussianMixture(k=k, featuresCol="_p", seed=seed, maxIter=20).fit(reduced) if k > 1 else None

@@ -63,6 +63,22 @@ class SharedWords(Reranker):
         return [len(asked & set((t or "").lower().split())) / max(1, len(asked)) for t in texts]
 
 
+def _answers(provider: TextProvider, prompts: Sequence[str]) -> list[str]:
+    """A provider's outputs for a batch; if the batch fails, or has too few or many outputs, each prompt's own, or its error."""
+    error: Exception | str = "no output"
+    for _ in range(TRIES if len(prompts) == 1 else 1):
+        try:
+            found = list(provider.complete(prompts))
+            if len(found) == len(prompts):
+                return found
+            error = f"{len(found)} outputs for {len(prompts)} prompts"
+        except Exception as e:  # a model's failure is an answer, not the end of the job
+            error = e
+    if len(prompts) > 1:
+        return [_answers(provider, [p])[0] for p in prompts]
+    return [f"Error: {error}"] * len(prompts)
+
+
 def complete(rows: DataFrame, prompt: str, out: str, provider: TextProvider, batch: int = 64) -> DataFrame:
     """rows with a provider's outputs for the prompts in a column."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
@@ -71,13 +87,7 @@ def complete(rows: DataFrame, prompt: str, out: str, provider: TextProvider, bat
         for frame in frames:
             prompts, found = frame[prompt].fillna("").tolist(), []
             for i in range(0, len(prompts), batch):
-                for attempt in range(TRIES):
-                    try:
-                        found += provider.complete(prompts[i : i + batch])
-                        break
-                    except Exception as e:  # a model's failure is an answer, not the end of the job
-                        if attempt == TRIES - 1:
-                            found += [f"Error: {e}"] * len(prompts[i : i + batch])
+                found += _answers(provider, prompts[i : i + batch])
             yield frame.assign(**{out: found})
 
     return rows.mapInPandas(run, f"{kinds}, `{out}` string")
@@ -93,12 +103,20 @@ def embed(rows: DataFrame, text: str, out: str, provider: Embedder) -> DataFrame
     return rows.mapInPandas(run, f"{kinds}, `{out}` array<double>")
 
 
-def rerank(rows: DataFrame, query: str, text: str, out: str, provider: Reranker) -> DataFrame:
-    """rows (query, text) with the provider's score of each pair."""
+def rerank(rows: DataFrame, query: str, text: str, out: str, provider: Reranker, batch: int = 4) -> DataFrame:
+    """rows (query, text) with the provider's score of each pair: pairs of one query go to it `batch` at a time, in their order."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def run(frames):
         for frame in frames:
-            yield frame.assign(**{out: [provider.score(q, [t])[0] for q, t in zip(frame[query].fillna(""), frame[text], strict=True)]})
+            queries, texts, scores = frame[query].fillna("").tolist(), frame[text].fillna("").tolist(), np.zeros(len(frame))
+            places: dict[str, list[int]] = {}
+            for i, q in enumerate(queries):
+                places.setdefault(q, []).append(i)
+            for q, at in places.items():
+                for i in range(0, len(at), batch):
+                    part = at[i : i + batch]
+                    scores[part] = provider.score(q, [texts[j] for j in part])
+            yield frame.assign(**{out: scores})
 
     return rows.mapInPandas(run, f"{kinds}, `{out}` double")

@@ -69,21 +69,31 @@ def _inputs(spark, sf_dir) -> S.Inputs:
     after = named.withColumn("next", F.lead("name").over(Window.partitionBy("doc_id").orderBy("position"))).where("next is not null and next <> name")
     edges = after.groupBy(F.least("name", "next").alias("src"), F.greatest("name", "next").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    return S.Inputs(asked, docs.select(F.col("doc_id").alias("node_id"), "text"), named.select(F.col("doc_id").alias("node_id"), F.col("name").alias("node")).distinct(), edges)
+    section = (-1 - F.pmod(F.xxhash64("source"), F.lit(1_000_000))).alias("node_id")  # documents hang on their source
+    texts = docs.select(F.col("doc_id").alias("node_id"), section.alias("parent_id"), "text", F.lit("text").alias("type"), (F.col("doc_id") % 10).cast("int").alias("page_idx"), F.array("source").alias("path_titles"))
+    heads = docs.select(section, F.lit(None).cast("long").alias("parent_id"), F.col("source").alias("text"), F.lit("title").alias("type"), F.lit(0).alias("page_idx"), F.array("source").alias("path_titles")).distinct()
+    names = named.select("name").distinct()
+    aliases = names.where("name like '%s'").select(F.col("name").alias("old"), F.expr("left(name, length(name) - 1)").alias("new")).join(names.select(F.col("name").alias("new")), "new", "left_semi")
+    return S.Inputs(asked, texts.unionByName(heads), named.select(F.col("doc_id").alias("node_id"), F.col("name").alias("node")).distinct(), edges, aliases=aliases)
 
 
-def _strategy_query(name, variant="standard"):
-    @query(f"strategy_{name}" + ("" if variant == "standard" else f"_{variant}"))
+def _strategy_query(name, variant="standard", sql=None, **options):
+    @query(f"strategy_{name}" + ("" if variant == "standard" else f"_{variant}"), sql)
     def run(spark, sf_dir):
-        return S.retrieve(name, _inputs(spark, sf_dir), variant).select("query_id", "node_id", F.round("score", 6).alias("score"))
+        return S.retrieve(name, _inputs(spark, sf_dir), variant, **options).select("query_id", "node_id", F.round("score", 6).alias("score"))
 
     return run
 
 
-for _name in ("vanilla", "bm25", "graph", "tree_entity", "planned"):
-    _strategy_query(_name)
-for _variant in ("wo_graph", "wo_text"):
-    _strategy_query("planned", _variant)
+def _strategies():
+    for name in ("vanilla", "bm25", "graph", "tree_entity", "mmr"):
+        _strategy_query(name)
+    for variant in S.VARIANTS:
+        if variant != "wo_map":
+            _strategy_query("planned", variant, select_depth=0)
+
+
+_strategies()
 
 
 @query("strategy_answers")
@@ -91,6 +101,11 @@ def strategy_answers(spark, sf_dir):
     return S.answer("bm25", _inputs(spark, sf_dir))
 
 
+@query("strategy_answers_wo_map")
+def strategy_answers_wo_map(spark, sf_dir):
+    return S.answer("bm25", _inputs(spark, sf_dir), "wo_map")
+
+
 @query("resume_anti_join", "SELECT conv_id, turn FROM conversations WHERE role = 'user' AND conv_id * 1000 + turn NOT IN (SELECT conv_id * 1000 + turn FROM conversations WHERE role = 'user' AND turn % 4 = 0)")
 def resume_anti_join(spark, sf_dir):
     asked = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))

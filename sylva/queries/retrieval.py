@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sylva.catalog import query, table
 from sylva.functions import vectors as V
 from sylva.operators import bm25, dense
+from sylva.stages import stage_path
 
 QUESTION = "the thing of reed and the ined station"
 
@@ -27,13 +28,15 @@ SELECT l.id, coalesce(round(score, 6), 0.0) AS score FROM l LEFT JOIN s ON s.id
 )
 def bm25_topk(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return bm25.search_one(bm25.build(docs, "doc_id", "text"), spark, QUESTION, 20)
+    asked = spark.createDataFrame([(0, QUESTION)], "query_id int, text string")
+    found = bm25.search_docs(docs, "doc_id", "text", asked, 20)
+    return bm25.filled(found, asked, docs.select(F.col("doc_id").alias("id")), 20).select("id", "score")
 
 
-@query("term_stats", f"WITH {TOKENS} SELECT term, df, round(idf, 6) AS idf FROM d WHERE df >= 3")
+@query("term_stats", f"WITH {TOKENS} SELECT term, df, round(idf, 6) AS idf FROM d")
 def term_stats(spark, sf_dir):
     index = bm25.build(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return index.terms.where("df >= 3").select("term", "df", F.round("idf", 6).alias("idf"))
+    return index.terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("corpus_averages", f"WITH {TOKENS} SELECT n, round(avgdl, 6) AS avgdl FROM c")
@@ -42,18 +45,17 @@ def corpus_averages(spark, sf_dir):
     return index.corpus.select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
-@query(
-    "batch_bm25",
-    f"""WITH {TOKENS},
+QUERIES_BATCH = f"""WITH {TOKENS},
 q AS (SELECT query_id, term, count(*) AS qtf FROM (
   SELECT item_id AS query_id, unnest(string_split_regex(trim(lower(text)), '\\s+')) AS term FROM benchmark) GROUP BY ALL),
 s AS (SELECT query_id, p.id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
       FROM p JOIN q USING (term) JOIN d USING (term) JOIN l ON l.id = p.id CROSS JOIN c GROUP BY query_id, p.id)
-SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10""",
-)
+SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10"""
+
+
+@query("batch_bm25", QUERIES_BATCH)
 def batch_bm25(spark, sf_dir):
-    index = bm25.build(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return bm25.search(index, table(spark, sf_dir, "benchmark"), 10, "item_id", "text")
+    return bm25.search_docs(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), 10, "item_id", "text")
 
 
 def _queries(spark, sf_dir):
@@ -141,3 +143,22 @@ def hybrid_union_topk(spark, sf_dir):
 def collection_without_label(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label")
     return dense.delete(vectors, vectors.where("vec_id < 3").select("label").distinct(), "label")
+
+
+@query("saved_index_search", QUERIES_BATCH)
+def saved_index_search(spark, sf_dir):
+    """An index saved once and searched after loading."""
+    path = stage_path(spark, "bm25-index")
+    bm25.build(table(spark, sf_dir, "documents"), "doc_id", "text").save(path)
+    return bm25.search(bm25.load(spark, path), table(spark, sf_dir, "benchmark"), 10, "item_id", "text")
+
+
+@query("filled_bm25", f"""WITH {TOKENS},
+q AS (SELECT term, count(*) AS qtf FROM (SELECT unnest(['copyright', 'zzzz']) AS term) GROUP BY term),
+s AS (SELECT p.id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+      FROM p JOIN q USING (term) JOIN d USING (term) JOIN l ON l.id = p.id CROSS JOIN c GROUP BY p.id)
+SELECT 7 AS query_id, l.id, coalesce(score, 0.0) AS score, row_number() OVER (ORDER BY coalesce(score, 0.0) DESC, l.id) AS rank FROM l LEFT JOIN s ON s.id = l.id ORDER BY rank LIMIT 50""")
+def filled_bm25(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    asked = spark.createDataFrame([(7, "copyright zzzz")], "query_id int, text string")
+    return bm25.filled(bm25.search_docs(docs, "doc_id", "text", asked, 50), asked, docs.select(F.col("doc_id").alias("id")), 50)
