@@ -17,12 +17,13 @@ from sylva.stages import short_shuffles, stage_table
 
 def closure(nodes: DataFrame, max_depth: int | None = None, node: str = "node_id", parent: str = "parent_id") -> DataFrame:
     """(node_id, ancestor_id, dist) of all pairs, a node being its own ancestor at 0; max_depth ends the search early."""
-    links = stage_table(nodes.select(F.col(node).alias("_n"), F.col(parent).alias("_p")), "tree-links")
-    level = links.select(F.col("_n").alias("node_id"), F.col("_n").alias("ancestor_id"), F.lit(0).alias("dist"))
+    known = nodes.select(F.col(node).alias("_p")).distinct()
+    links = stage_table(nodes.select(F.col(node).alias("_n"), F.col(parent).alias("_p")).join(known, "_p", "left_semi"), "tree-links")
+    level = nodes.select(F.col(node).alias("node_id"), F.col(node).alias("ancestor_id"), F.lit(0).alias("dist"))
     levels = [level]
     with short_shuffles(nodes.sparkSession):
         while max_depth is None or len(levels) <= max_depth:
-            level = level.join(links.where("_p is not null"), F.col("ancestor_id") == F.col("_n")).select("node_id", F.col("_p").alias("ancestor_id"), F.lit(len(levels)).alias("dist"))
+            level = level.join(links, F.col("ancestor_id") == F.col("_n")).select("node_id", F.col("_p").alias("ancestor_id"), F.lit(len(levels)).alias("dist"))
             level = stage_table(level, "tree-level")
             if level.isEmpty():
                 break

@@ -12,7 +12,7 @@ NODES = """nodes AS (
   UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name, 0.0 FROM nation
   UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name, c_acctbal FROM customer
   UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, o_orderpriority, o_totalprice FROM orders
-  UNION ALL SELECT 'l' || l_orderkey || '-' || l_linenumber, 'o' || l_orderkey, l_shipmode, l_extendedprice FROM lineitem),
+  UNION ALL SELECT 'l' || l_orderkey || '-' || l_linenumber, 'o' || l_orderkey, max(l_returnflag), sum(l_extendedprice) FROM lineitem GROUP BY l_orderkey, l_linenumber),
 closure AS (
   SELECT node_id, node_id AS ancestor_id, parent_id AS up, 0 AS dist FROM nodes
   UNION ALL SELECT c.node_id, n.node_id, n.parent_id, c.dist + 1 FROM closure c JOIN nodes n ON n.node_id = c.up)"""
@@ -28,7 +28,9 @@ def nodes(spark, sf_dir):
         table(spark, sf_dir, "nation").select(key("n", "n_nationkey"), key("r", "n_regionkey"), "n_name", F.lit(0.0)),
         table(spark, sf_dir, "customer").select(key("c", "c_custkey"), key("n", "c_nationkey"), "c_name", "c_acctbal"),
         table(spark, sf_dir, "orders").select(key("o", "o_orderkey"), key("c", "o_custkey"), "o_orderpriority", "o_totalprice"),
-        table(spark, sf_dir, "lineitem").select(F.concat(F.lit("l"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")), key("o", "l_orderkey"), "l_shipmode", "l_extendedprice"),
+        # Lines share numbers within an order: a number is a node.
+        table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("title"), F.sum("l_extendedprice").alias("value"))
+        .select(F.concat(F.lit("l"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")), key("o", "l_orderkey"), "title", "value"),
     ]
     out = parts[0]
     for part in parts[1:]:
