@@ -135,3 +135,62 @@ def test_index_is_saved_and_filled(spark, tmp_path):
     assert rows(found.select("query_id", "rank", "id", "score")) == rows(direct.select("query_id", "rank", "id", "score")) == rows(bm25.search_docs(docs, "id", "text", asked, 5, most=0).select("query_id", "rank", "id", "score"))
     full = rows(bm25.filled(direct, asked, docs, 5))
     assert [(q, i) for q, _, i, _ in full] == [(1, 1), (1, 4), (1, 7), (1, 0), (1, 2), (2, 0), (2, 1), (2, 2), (2, 3), (2, 4)]
+
+
+def test_extraction_gleans_repairs_and_chooses(spark):
+    from sylva.operators import entities as E
+    from sylva.operators import extract as X
+
+    class Twice(X.CapitalisedRecords):
+        def complete(self, prompts):
+            return ['("entity"<|>"late"<|>"term"<|>"x")' if p.startswith("Some were") else a for p, a in zip(prompts, super().complete(prompts))]
+
+    nodes = spark.createDataFrame([(1, "Green Halls stand."), (2, "nothing"), (3, None)], "node_id long, text string")
+    records = E.parse_records(X.from_texts(nodes, Twice(), gleanings=2))
+    assert {(r.node_id, r.name) for r in E.entities_of(records).collect()} == {(1, "green"), (1, "halls"), (1, "late")}
+    found = spark.createDataFrame([(1, "green hall", "PLACE", "a"), (1, "oak", "TREE", "b"), (2, "oak", "TREE", "c")], "node_id long, name string, type string, description string")
+    relations = spark.createDataFrame([(1, "green halls", "oak", "near", 1.0), (1, "green hall", "oak", "near", 2.0), (2, "oak", "somewhere else", "in", 1.0)], "node_id long, src string, dst string, relation string, weight double")
+    merged, mended = X.repair(found, relations)
+    assert {(r.name, r.type) for r in merged.collect()} == {("green hall", "PLACE"), ("oak", "TREE"), ("somewhere else", "UNKNOWN")}
+    assert sorted((r.src, r.dst) for r in mended.collect()) == [("green hall", "oak"), ("oak", "somewhere else")]
+
+    class Pick(X.TextProvider):
+        def complete(self, prompts):
+            return ["2" if "\n\nx\n\n" in p else "9" if "\n\ny\n\n" in p else "none" for p in prompts]
+
+    options = spark.createDataFrame([("x", "a", 0.9), ("x", "b", 0.8), ("y", "a", 0.9), ("z", "a", 0.9)], "entity string, other string, score double")
+    assert [(r.entity, r.other) for r in X.chosen(options, Pick()).collect()] == [("x", "b")]
+    said = X.synthesised(spark.createDataFrame([("a", "one<SEP>two"), ("b", "one"), ("c", None)], "name string, description string"), providers.FirstSentence())
+    assert {(r.name, r.description) for r in said.collect()} == {("a", "one"), ("b", "one"), ("c", None)}
+    images = X.from_pictures(spark.createDataFrame([(1, "Great Tower"), (2, "")], "node_id long, text string"), X.CapitalisedRecords(), "image", F.concat(F.lit("image "), F.col("node_id").cast("string")))
+    assert {(r.node_id, r.name) for r in images.collect()} == {(1, "great"), (1, "tower"), (2, "image 2")}
+
+
+def test_aliases_with_cycles(spark):
+    from sylva.operators import entities as E
+
+    chain = [("a", "b"), ("b", "c"), ("c", "a"), ("x", "b"), ("0", "x"), ("p", "q"), ("q", "r"), ("s", "s")]
+    got = {r.old: r.new for r in E.resolve_aliases(spark.createDataFrame(chain, "old string, new string")).collect()}
+    assert got == {"b": "a", "c": "a", "x": "a", "0": "a", "p": "r", "q": "r"}
+
+
+def test_components_by_stars_and_merged(spark):
+    rows = [(i, i + 1) for i in range(0, 300) if i % 50] + [(1000, i) for i in range(1001, 1400)]
+    links = spark.createDataFrame(rows, "a long, b long").repartition(9)
+    parts = [{(r.node, r.component) for r in graph.components(links, merged=m).collect()} for m in (0, 500_000)]
+    assert parts[0] == parts[1] and (1400 - 1, 1000) in parts[0] and (50, 1) in parts[0]
+
+
+def test_collections(spark, tmp_path):
+    from sylva.operators import collections as C
+
+    path = f"file://{tmp_path}/c"
+    assert C.open_collection(spark, path, "id long, v array<double>").count() == 0
+    C.add_to_collection(spark.createDataFrame([(1, [0.5])], "id long, v array<double>"), path)
+    assert C.open_collection(spark, path, "id long, v array<double>").count() == 1
+    assert C.reset_collection(spark, path, "id long, v array<double>").count() == 0
+    docs = spark.createDataFrame([(1, "One two. Three four. Five six."), (2, None)], "id long, text string")
+    assert [r.text for r in C.chunk_rows(docs, "id", "text", 4).orderBy("chunk").collect()] == ["One two. Three four.", "Five six."]
+    assert C.chunk_index(docs, "id", "text", "bm25", budget=4).lengths.count() == 2 and C.chunk_index(docs, "id", "text", "vanilla", providers.HashedWords(), 4).count() == 2
+    C.save_traces(spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.9)], "query_id long, node_id long, score double"), f"{tmp_path}/t")
+    assert [x.node_id for x in spark.read.json(f"{tmp_path}/t").first().retrieved] == [3, 2] and C.room_left(100, 250) == 0
