@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that go to a Python worker at a time: long texts make large batches, held by the worker and by the JVM.
+BATCH_ROWS = 2000
+
 _own_dir: list[str] = []
 _paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
@@ -35,14 +39,21 @@ def stage_path(spark: SparkSession, label: str) -> str:
 
 
 @contextlib.contextmanager
-def short_shuffles(spark: SparkSession):
-    """While it holds, the files of an action's shuffles go when the action ends, and not when the driver collects garbage."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+def _held(spark: SparkSession, settings: dict[str, str]):
+    """While it holds, the session has these settings."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def short_shuffles(spark: SparkSession):
+    """While it holds, the files of an action's shuffles go when the action ends, and not when the driver collects garbage."""
+    return _held(spark, {CLEANUP: "true"})
 
 
 def stage_table(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
@@ -51,7 +62,7 @@ def stage_table(df: DataFrame, label: str, files: int | None = None) -> DataFram
     files: for small results, merge the partitions of the last step to at most so many files.
     """
     spark, path = df.sparkSession, stage_path(df.sparkSession, label)
-    with short_shuffles(spark):
+    with _held(spark, {CLEANUP: "true", BATCH: str(BATCH_ROWS)}):
         (df if files is None else df.coalesce(files)).write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     _paths[table] = path
