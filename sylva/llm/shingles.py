@@ -8,7 +8,7 @@ import xxhash
 from sylva.llm._bytes import segments
 
 SHINGLE = 5
-_REMEMBERED = 300_000
+_REMEMBERED = 100_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
