@@ -69,9 +69,10 @@ def _inputs(spark, sf_dir) -> S.Inputs:
     after = named.withColumn("next", F.lead("name").over(Window.partitionBy("doc_id").orderBy("position"))).where("next is not null and next <> name")
     edges = after.groupBy(F.least("name", "next").alias("src"), F.greatest("name", "next").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    section = (-1 - F.pmod(F.xxhash64("source"), F.lit(1_000_000))).alias("node_id")  # documents hang on their source
+    chapter = F.concat_ws(" ", "source", (F.col("doc_id") % 64).cast("string"))  # documents hang on chapters of their source
+    section = (-1 - F.pmod(F.xxhash64(chapter), F.lit(1 << 40))).alias("node_id")
     texts = docs.select(F.col("doc_id").alias("node_id"), section.alias("parent_id"), "text", F.lit("text").alias("type"), (F.col("doc_id") % 10).cast("int").alias("page_idx"), F.array("source").alias("path_titles"))
-    heads = docs.select(section, F.lit(None).cast("long").alias("parent_id"), F.col("source").alias("text"), F.lit("title").alias("type"), F.lit(0).alias("page_idx"), F.array("source").alias("path_titles")).distinct()
+    heads = docs.select(section, F.lit(None).cast("long").alias("parent_id"), chapter.alias("text"), F.lit("title").alias("type"), F.lit(0).alias("page_idx"), F.array("source").alias("path_titles")).distinct()
     names = named.select("name").distinct()
     aliases = names.where("name like '%s'").select(F.col("name").alias("old"), F.expr("left(name, length(name) - 1)").alias("new")).join(names.select(F.col("name").alias("new")), "new", "left_semi")
     return S.Inputs(asked, texts.unionByName(heads), named.select(F.col("doc_id").alias("node_id"), F.col("name").alias("node")).distinct(), edges, aliases=aliases)
