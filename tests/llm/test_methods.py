@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,18 +166,41 @@ def test_brown_probabilities_sum_to_one(spark):
 def test_gains_are_those_of_exchange():
     rng = np.random.default_rng(3)
     m = rng.integers(0, 4, (30, 30)).astype(float)
+    m[5], m[:, 5] = 0, 0
+    m[9], m[:, 9] = 0, 0
+    m[9, 9] = 3
     of = rng.integers(0, 5, 30)
-    of[7] = 2
-    own = lambda c: np.arange(30)[(of == c) & (np.arange(30) != 7)]
-    near = np.array([m[7, own(c)].sum() for c in range(5)] + [m[own(c), 7].sum() for c in range(5)] + [m[7, 7]])
 
-    def likelihood(c):
-        one = np.eye(5)[np.where(np.arange(30) == 7, c, of)]
+    def near(u):
+        own = lambda c: np.arange(30)[(of == c) & (np.arange(30) != u)]
+        return np.array([m[u, own(c)].sum() for c in range(5)] + [m[own(c), u].sum() for c in range(5)] + [m[u, u]])
+
+    def likelihood(u, c):
+        one = np.eye(5)[np.where(np.arange(30) == u, c, of)]
         g = one.T @ m @ one
         return brown._xlogx(g).sum() - brown._xlogx(g.sum(0)).sum() - brown._xlogx(g.sum(1)).sum()
 
     one = np.eye(5)[of]
-    assert brown._moved(one.T @ m @ one, 2, np.arange(11), near) == int(np.argmax([likelihood(c) for c in range(5)]))
+    table = np.array([near(u) for u in range(30)])
+    table[5, 10] = 0
+    word, slot = np.nonzero(table)
+    found = brown._moved(one.T @ m @ one, of, word, slot, table[word, slot])
+    for u in range(30):
+        best = [likelihood(u, c) for c in range(5)]
+        assert math.isclose(best[found[u]], max(best), rel_tol=1e-9)
+
+
+def test_sorted_codes_are_summed_across_batches():
+    rng = np.random.default_rng(4)
+    codes = np.sort(rng.integers(0, 60, 400))
+    n = rng.integers(1, 5, 400)
+    cuts = [0, 0, 3, 5, 180, 181, 399, 400]
+    batches = [pa.RecordBatch.from_arrays([pa.array(codes[i:j]), pa.array(n[i:j])], ["code", "n"]) for i, j in zip(cuts, cuts[1:])]
+    parts = list(brown._summed(iter(batches), 7))
+    assert {int(c): int(k) for cs, ks in parts for c, k in zip(cs, ks)} == {int(c): int(n[codes == c].sum()) for c in np.unique(codes)}
+    heads = [set((cs // 7).tolist()) for cs, _ in parts]
+    assert sum(map(len, heads)) == len(set.union(*heads))
+    assert list(brown._summed(iter(batches[:1]), 7)) == []
 
 
 def test_further_words_get_classes_of_their_own(spark, monkeypatch):
