@@ -254,6 +254,98 @@ def test_brown_score_is_that_of_a_plain_class_bigram_model(spark):
         assert math.isclose(r.perplexity, 10 ** (-plain / len(ws)), rel_tol=1e-9)
 
 
+def test_words_beyond_those_kept_get_classes_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(brown, "UNITS", 11)
+    monkeypatch.setattr(brown, "KEPT", 15)
+    monkeypatch.setattr(brown, "MOST_FURTHER", 5, raising=False)
+    rng = np.random.default_rng(6)
+    ids = {out: [i for i in range(5000) if brown.held_out(i) == out] for out in (False, True)}
+    tail = {kind: [f"{kind}{i}xx" for i in range(40)] for kind in "ab"}
+    texts, times = [], collections.Counter()
+    for _ in range(200):
+        kinds = rng.integers(0, 2, 6)
+        chosen = [tail["ab"[k]][rng.integers(3) if rng.random() < 0.5 else min(3 + int(rng.exponential(7)), 39)] for k in kinds]
+        times.update(chosen)
+        texts.append(" ".join(f"{'pq'[k]} {w} {'uv'[k]}" for k, w in zip(kinds, chosen)))
+    probes = [f"{'pq'[k]} {w} {'uv'[k]}" for w in times for k in (0, 1)]
+    docs = spark.createDataFrame([*zip(ids[False], texts), *zip(ids[True], probes)], "doc_id long, text string").repartition(3)
+    of = dict(zip(ids[True], probes))
+    # beyond the counts of words: how well each stands between p and u, less how well between q and v
+    fits = {of[r.doc_id]: r.score - r.base_score for r in brown.score(docs, 6).collect() if r.held_out}
+    better = {w: fits[f"p {w} u"] - fits[f"q {w} v"] for w in times}
+    assert min(times.values()) == 1 and len(times) > 50
+    assert min(x for w, x in better.items() if w[0] == "a") > max(x for w, x in better.items() if w[0] == "b")
+
+
+def test_rare_words_go_where_the_likelihood_is_greatest(spark):
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{min(int(rng.exponential(9)), 60)}" for _ in range(rng.integers(0, 25))) for _ in range(90)] + ["z z z w1 z z", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept, first, classes = [b"", b"w0", b"w1", b"w2"], 3, 5
+    units = brown._Units(kept[:first], brown.SUFFIXES)
+    of_kept, of = np.array([units[w] for w in kept]), rng.integers(0, classes, first + brown.SUFFIXES)
+    tokens = [[b"", *(x or "").encode().split(), b""] for i, x in enumerate(texts) if not brown.held_out(i)]
+    pairs = collections.Counter((a, b) for ws in tokens for a, b in zip(ws, ws[1:]))
+
+    def bigrams(word=None, c=None):
+        g = np.zeros((classes, classes))
+        for (a, b), n in pairs.items():
+            g[c if a == word else of[units[a]], c if b == word else of[units[b]]] += n
+        return g
+
+    def likelihood(g):
+        return brown._xlogx(g).sum() - brown._xlogx(g.sum(0)).sum() - brown._xlogx(g.sum(1)).sum()
+
+    placed = {bytes(r.word): (r.c, r["class"]) for r in brown.place_rare(brown.encode(docs, kept), of_kept, first, of, bigrams()).collect()}
+    counts = collections.Counter(w for ws in tokens for w in ws[1:])
+    assert {w: c for w, (c, _) in placed.items()} == {w: c for w, c in counts.items() if w not in kept}
+    for w, (_, c) in placed.items():
+        assert math.isclose(likelihood(bigrams(w, c)), max(likelihood(bigrams(w, k)) for k in range(classes)), rel_tol=1e-9)
+
+
+def test_brown_score_with_words_beyond_those_kept_is_that_of_a_plain_model(spark, monkeypatch):
+    monkeypatch.setattr(brown, "UNITS", 9)
+    monkeypatch.setattr(brown, "KEPT", 30)
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"{'abcd'[k]}{min(int(rng.exponential(12)), 99)}" for k in rng.integers(0, 4, rng.integers(0, 40))) for _ in range(200)] + [None, "new words Only here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    model, _ = brown.train(docs, _common.stage_table(brown.word_counts(docs), "t"), 5)
+    units = brown._Units(model.frequent, model.suffixes, model.further)
+    placed = {bytes(r.word): r["class"] for r in model.placed.collect()}
+    cls = lambda w: placed[w] if w in placed else int(model.of[units[w]])
+    tokens = {i: [w.lower().encode() for w in (x or "").split()] + [b""] for i, x in enumerate(texts)}
+    counts, pairs = collections.Counter(), collections.Counter()
+    for i, ws in tokens.items():
+        if not brown.held_out(i):
+            counts.update(ws)
+            pairs.update((cls(a), cls(b)) for a, b in zip([b"", *ws], ws))
+    assert len(placed) > 50 and set(placed) | set(model.kept) == set(counts)
+    g = np.zeros(model.transitions.shape)
+    for (a, b), n in pairs.items():
+        g[a, b] = n
+    single = (g.sum(0) + brown.ALPHA) / (g.sum() + brown.ALPHA * len(g))
+    kinds = np.maximum((g > 0).sum(1, keepdims=True), 1)
+    p = (g + kinds * single) / (g.sum(1, keepdims=True) + kinds)
+    room = [brown.ALPHA + sum(counts[w] + brown.ALPHA for w in counts if cls(w) == c) for c in range(len(g))]
+    n, v = sum(counts.values()), len(counts)
+    for r in brown.score(docs, 5).collect():
+        ws = tokens[r.doc_id]
+        plain = sum(math.log10(p[cls(a), cls(b)] * (counts[b] + brown.ALPHA) / room[cls(b)]) for a, b in zip([b"", *ws], ws))
+        base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
+        assert math.isclose(r.score, plain, rel_tol=1e-9, abs_tol=1e-9) and math.isclose(r.base_score, base, rel_tol=1e-9)
+        assert (r.n_tokens, r.n_known) == (len(ws), sum(counts[w] > 0 for w in ws))
+
+
+def test_rows_of_a_word_stay_together_across_batches():
+    rng = np.random.default_rng(5)
+    words = sorted(f"w{i}".encode() for i in rng.integers(0, 40, 300))
+    cuts = [0, 0, 1, 2, 150, 151, 152, 299, 300]
+    batches = [pa.RecordBatch.from_arrays([pa.array(words[i:j], pa.binary()), pa.array(np.arange(i, j))], ["word", "seen"]) for i, j in zip(cuts, cuts[1:])]
+    parts = [(d.to_pylist(), of, v) for d, of, v in brown._whole_words(iter(batches))]
+    assert [(d[k], int(x)) for d, of, v in parts for k, x in zip(of, v, strict=True)] == list(zip(words, range(300)))
+    assert sum(len(d) for d, _, _ in parts) == len(set(words)) and list(brown._whole_words(iter(batches[:1]))) == []
+
+
 def test_quality(spark, sf_dir, texts):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     right = []
