@@ -56,18 +56,18 @@ def siblings(spark, sf_dir):
 @query("subtree_nodes", f"{REC} SELECT DISTINCT node_id FROM closure WHERE ancestor_id IN ('r1', 'n3', 'c7')")
 def subtree_nodes(spark, sf_dir):
     roots = spark.createDataFrame([("r1",), ("n3",), ("c7",)], "node_id string")
-    return tree.subtree(nodes(spark, sf_dir), roots, DEPTH).select("node_id")
+    return tree.subtree(nodes(spark, sf_dir).select("node_id", "parent_id"), roots).select("node_id")
 
 
 @query("preorder_rank", f"""{REC}, p AS (SELECT node_id, string_agg(ancestor_id, '/' ORDER BY dist DESC) AS path FROM closure GROUP BY node_id)
 SELECT node_id, split_part(path, '/', 1) AS root, row_number() OVER (PARTITION BY split_part(path, '/', 1) ORDER BY string_split(path, '/')) AS rank FROM p""")
 def preorder_rank(spark, sf_dir):
-    return tree.preorder(nodes(spark, sf_dir), DEPTH)
+    return tree.preorder(nodes(spark, sf_dir))
 
 
 @query("ancestor_at_depth", f"{REC}, d AS (SELECT node_id, max(dist) AS depth FROM closure GROUP BY node_id) SELECT c.node_id, c.ancestor_id FROM closure c JOIN d ON d.node_id = c.ancestor_id WHERE d.depth = 1")
 def ancestor_at_depth(spark, sf_dir):
-    return tree.ancestor_at(nodes(spark, sf_dir), 1, DEPTH)
+    return tree.ancestor_at(nodes(spark, sf_dir), 1)
 
 
 @query("max_depth", f"{REC} SELECT max(dist) AS max_depth FROM closure")
@@ -77,17 +77,17 @@ def max_depth(spark, sf_dir):
 
 @query("nodes_at_depth", f"{REC} SELECT node_id, max(dist) AS depth FROM closure GROUP BY node_id HAVING max(dist) = 2")
 def nodes_at_depth(spark, sf_dir):
-    return tree.with_depth(nodes(spark, sf_dir), DEPTH).where("depth = 2").select("node_id", "depth")
+    return tree.with_depth(nodes(spark, sf_dir).select("node_id", "parent_id"), DEPTH).where("depth = 2").select("node_id", "depth")
 
 
 @query("outline_list", f"{REC} SELECT node_id, max(dist) || chr(9) || any_value(title) || chr(9) || node_id AS line FROM closure JOIN nodes USING (node_id) GROUP BY node_id")
 def outline_list(spark, sf_dir):
-    return tree.outline(nodes(spark, sf_dir), "title", DEPTH)
+    return tree.outline(nodes(spark, sf_dir).select("node_id", "parent_id", "title"), "title", DEPTH)
 
 
 @query("level_rollup", f"{REC} SELECT ancestor_id AS node_id, round(sum(value), 2) AS total FROM closure JOIN nodes USING (node_id) GROUP BY ancestor_id")
 def level_rollup(spark, sf_dir):
-    return tree.roll_up(nodes(spark, sf_dir), "value", DEPTH).select("node_id", F.round("total", 2).alias("total"))
+    return tree.roll_up(nodes(spark, sf_dir), "value").select("node_id", F.round("total", 2).alias("total"))
 
 
 @query("child_summaries", f"""{REC}, k AS (SELECT parent_id, string_agg(title, chr(10) ORDER BY node_id) AS kids FROM nodes WHERE title IS NOT NULL GROUP BY parent_id)
@@ -106,9 +106,8 @@ def guided_descent(spark, sf_dir):
 
 @query("section_link", f"{REC}, d AS (SELECT node_id, max(dist) AS depth FROM closure GROUP BY node_id) SELECT c.ancestor_id AS section, count(DISTINCT o.title) AS entities, count(*) AS n FROM closure c JOIN d ON d.node_id = c.ancestor_id AND d.depth = 2 JOIN nodes o ON o.node_id = c.node_id WHERE o.node_id LIKE 'o%' GROUP BY c.ancestor_id")
 def section_link(spark, sf_dir):
-    all_nodes = nodes(spark, sf_dir)
-    of = tree.ancestor_at(all_nodes, 2, DEPTH).withColumnRenamed("ancestor_id", "section")
-    return all_nodes.where("node_id like 'o%'").join(of, "node_id").groupBy("section").agg(F.countDistinct("title").alias("entities"), F.count("*").alias("n"))
+    of = tree.with_ancestor(nodes(spark, sf_dir).select("node_id", "parent_id", "title"), 2).withColumnRenamed("ancestor_id", "section")
+    return of.where("node_id like 'o%'").groupBy("section").agg(F.countDistinct("title").alias("entities"), F.count("*").alias("n"))
 
 
 # Orders as documents, their lines as blocks; a line's level is its number modulo 4.
