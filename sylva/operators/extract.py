@@ -57,10 +57,32 @@ def from_texts(nodes: DataFrame, model: TextProvider, budget: int = 500, gleanin
 
 
 def row_batches(lines: DataFrame, key: str, order: str, line: str, budget: int) -> DataFrame:
-    """(key, batch, text): a table's lines in their order, as many in a batch as fit into `budget` words."""
-    held = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(line).alias("t")))).alias("ls"))
-    packed = held.withColumn("bins", T.pack_in_order(F.transform("ls", lambda x: T.n_tokens(x["t"])), budget)).select(key, F.explode(F.arrays_zip("ls", "bins")).alias("x"))
-    return packed.groupBy(key, F.col("x.bins").alias("batch")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x.ls")), lambda x: x["t"]), "\n").alias("text"))
+    """(key, batch, text): a table's lines in their order, as many in a batch as fit into `budget` words.
+
+    A table's lines run through one task in their order, which holds a count and no lines, however many there are.
+    """
+    import pyarrow as pa
+
+    count = F.greatest(F.coalesce(T.n_tokens(F.col(line)), F.lit(0)), F.lit(0))
+    rows = lines.select(key, F.col(order).alias("_o"), F.col(line).alias("_t"), count.alias("_n"))
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def place(batches):
+        at, held, batch = object(), 0, 0
+        for x in batches:
+            placed = []
+            for k, n in zip(x.column(0).to_pylist(), x.column(3).to_pylist()):
+                if k != at:
+                    at, held, batch = k, n, 0
+                elif held + n > budget:
+                    held, batch = n, batch + 1
+                else:
+                    held += n
+                placed.append(batch)
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(placed, pa.int32())], names=[*x.schema.names, "batch"])
+
+    placed = rows.repartition(F.col(key)).sortWithinPartitions(key, "_o", "_t").mapInArrow(place, f"{shape}, batch int")
+    return placed.groupBy(key, "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_t"))), lambda x: x["_t"]), "\n").alias("text"))
 
 
 def from_tables(tables: DataFrame, lines: DataFrame, model: TextProvider, budget: int = 500) -> tuple[DataFrame, DataFrame]:
